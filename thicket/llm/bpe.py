@@ -112,7 +112,7 @@ class PairIndexBpe:
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         cut = [self.words.findall(p) for p in pieces]
-        new = list({w for ws in cut for w in ws} - self.word_ids.keys())
+        new = [w for w in {w for ws in cut for w in ws} if w not in self.word_ids]
         if len(self.word_ids) + len(new) > self.entries:
             self.word_ids.clear()
             new = list({w for ws in cut for w in ws})
