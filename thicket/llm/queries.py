@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, quality, sharding, sstable, toxicity
+from . import bpe, minhash, packing, quality, sharding, sstable, substring_dedup, toxicity
 from .encoder import byte_bpe_path, word_bpe_path
 
 
@@ -36,6 +36,10 @@ def op6_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), byte_bpe_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_de_bruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sstable.round_trip(_table(spark, sf_dir, "documents"), word_bpe_path())
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
