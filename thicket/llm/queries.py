@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, quality, sharding, sstable, substring_dedup, toxicity
+from . import bpe, hamming, minhash, packing, quality, sharding, sstable, substring_dedup, toxicity, vector_dedup
 from .encoder import byte_bpe_path, word_bpe_path
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_int8_tile_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_b_bit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,11 @@ def op8_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.sign_codes(_table(spark, sf_dir, "embeddings"))
+    return hamming.top_k(codes, codes.where("vec_id % 20 = 0"), 10)
+
+
 def op10_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -54,5 +63,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+#: All pairs by their definition: fit for small tables only, and independent of the tiles.
+_OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+  SELECT vec_id, e FROM v
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, l.component_id, v.vec_id = l.component_id AS kept
+FROM v JOIN least l ON l.a = v.vec_id LEFT JOIN degree d ON d.a = v.vec_id
+"""
+
+_OP9 = """
+WITH c AS (
+  SELECT vec_id, list_transform(embedding, x -> (x > 0)::INT) AS bits FROM embeddings
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.bits, c.bits), x -> (x[1] <> x[2])::INT))::INT AS distance
+  FROM c q JOIN c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d
+)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_int8_tile_dedup": _OP1, "op9_multi_index_hamming": _OP9}
