@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .toxicity import fold, labelled_sample
+from .toxicity import carrying, fold, labelled_sample
 
 #: Buckets of word cores, buckets of word shapes, dimensions, non-zero entries of an index vector.
 CORES, SHAPES, DIM, ENTRIES = 16_384, 512, 64, 2
@@ -251,6 +251,17 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def with_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """All columns of ``docs`` and ``__score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scores(texts: pa.Array) -> list[float]:
+        m, shapes = shared.value, Shapes()
+        return [s for _, part in batches_of(texts) for s in m.network.scores(pooled(m.vectors, *shapes.codes(part))).tolist()]
+
+    return carrying(docs, scores)
+
+
 #: Documents whose score reaches this are predicted good.
 THRESHOLD = 0.3
 

@@ -155,6 +155,30 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed:
     return fit_noisy_or(rows, np.array(got["label"], dtype=np.int64), bits)
 
 
+def carrying(docs: DataFrame, scores, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``__score``: ``scores`` gives one for each text of an Arrow column, in order."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(b.column(names.index(text_col))), pa.float64())], names=[*b.schema.names, "__score"])
+
+    renamed = docs.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(names)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema)
+    return renamed.mapInArrow(run, f"{schema}, __score double").select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(names)), "__score")
+
+
+def with_scores(docs: DataFrame, model: NoisyOr) -> DataFrame:
+    """All columns of ``docs`` and ``__score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scores(texts: pa.Array) -> list[float]:
+        table = WordTable(shared.value.bits)
+        return [shared.value.score(*table.sentences(t.as_py() or "")) for t in texts]
+
+    return carrying(docs, scores)
+
+
 def score(docs: DataFrame, model: NoisyOr, spans_from: float | None = None) -> DataFrame:
     """Scores every whole text: ``doc_id``, ``score`` and, with ``spans_from``, ``offending``.
 
