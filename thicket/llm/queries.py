@@ -69,7 +69,7 @@ WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
 ), good AS (
   SELECT vec_id, e FROM v
-  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95
@@ -88,9 +88,9 @@ FROM v JOIN least l ON l.a = v.vec_id LEFT JOIN degree d ON d.a = v.vec_id
 
 _OP9 = """
 WITH c AS (
-  SELECT vec_id, list_transform(embedding, x -> (x > 0)::INT) AS bits FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS bits FROM embeddings
 ), d AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.bits, c.bits), x -> (x[1] <> x[2])::INT))::INT AS distance
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.bits, c.bits), lambda x: (x[1] <> x[2])::INT))::INT AS distance
   FROM c q JOIN c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d
