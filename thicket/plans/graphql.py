@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -323,6 +324,9 @@ class GraphQL:
             return value.try_cast("double")
         return value == "true" if name == "Boolean" else value
 
+    def _cast_item(self, name: str, item: Column) -> Column:
+        return self.cast(item, name)
+
     def objects(self, t: Type, selections: list[Selection], fragments: dict[str, Selection], ids: DataFrame | None = None, depth: int = 0) -> DataFrame:
         """``id`` and ``object`` (a struct) of the entities of a type, or of those in ``ids`` whether they exist or not.
 
@@ -379,7 +383,7 @@ class GraphQL:
                     value = F.coalesce(value, F.array())
             else:
                 ref = t.fields[s.name]
-                value = F.transform(f"f_{s.name}", lambda x, n=ref.name: self.cast(x, n)) if ref.listed else self.cast(F.col(f"f_{s.name}"), ref.name)
+                value = F.transform(f"f_{s.name}", partial(self._cast_item, ref.name)) if ref.listed else self.cast(F.col(f"f_{s.name}"), ref.name)
             columns.append(value.alias(s.output))
         order = ["pos"] if ids is not None and "pos" in ids.columns else []
         return wide.select(*order, "id", F.struct(*columns).alias("object"))
