@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed:
 
     sample = labelled_sample(docs, labels, label_col, F.lit(True) if allowed is None else allowed, limit)
     got = sample.mapInArrow(features, "words binary, starts binary, label int").toArrow().to_pydict()
-    rows = [(np.frombuffer(w, "<u4").astype(np.int64), np.frombuffer(s, "<u4").astype(np.int64)) for w, s in zip(got["words"], got["starts"])]
+    rows = [(np.frombuffer(w, "<u4"), np.frombuffer(s, "<u4")) for w, s in zip(got["words"], got["starts"])]
     return fit_noisy_or(rows, np.array(got["label"], dtype=np.int64), bits)
 
 
