@@ -39,6 +39,13 @@ def test_mutations_and_queries(layer):
     assert json.loads(layer.to_json('{ Users(id: "none") { name } }'))["data"]["Users"] == {"id": "none", "name": None}
 
 
+def test_schema_is_kept(layer):
+    layer.save()
+    again = GraphQL.load(layer.store)
+    assert {n: (t.kind, t.plural, {k: str(r) for k, r in t.fields.items()}, t.values) for n, t in again.types.items()} == {n: (t.kind, t.plural, {k: str(r) for k, r in t.fields.items()}, t.values) for n, t in layer.types.items()}
+    assert again.roots == layer.roots
+
+
 def test_documents(layer):
     layer.execute('mutation { createUser(id: "a", name: "Ann", age: "x") { id } }')
     got = layer.execute('query Q { User(id: "a") { ...f age @skip(if: true) n: name ... on User { email @include(if: false) age } } } fragment f on User { name ...f }')

@@ -35,7 +35,7 @@ def test_flat_and_batch_are_exact(spark, metric):
     assert [got[str(q)] for q in range(5)] == want
 
 
-def test_recall_of_the_indexes(spark):
+def test_recall_of_the_indexes(spark, tmp_path):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16)) * 10
     x = centres[rng.integers(0, 20, 600)] + rng.normal(size=(600, 16)) * 0.1
@@ -45,6 +45,9 @@ def test_recall_of_the_indexes(spark):
     exact = {q: {r.id for r in V.flat_search(df, x[q], 10).collect()} for q in queries}
     recall = np.mean([len(exact[q] & {r.id for r in index.search(x[q].tolist(), 10).collect()}) / 10 for q in queries])
     assert recall >= 0.9
+    index.save(f"file://{tmp_path}/index")
+    again = V.VectorIndex.load(spark, f"file://{tmp_path}/index")
+    assert {r.id for r in again.search(x[3].tolist(), 5).collect()} == {r.id for r in index.search(x[3].tolist(), 5).collect()}
     index.migrate(index="slsh", tables=2, width=0.5).reconfigure(radius=100)
     recall = np.mean([len(exact[q] & {r.id for r in index.search(x[q].tolist(), 10).collect()}) / 10 for q in queries])
     assert recall >= 0.9

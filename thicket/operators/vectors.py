@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +217,21 @@ class VectorIndex:
         self.format, self.projections, self.centroids = fresh.format, fresh.projections, []
         return self.train()
 
+    def save(self, folder: str) -> None:
+        """The vectors (by cluster, if there are any, so that a search reads only those it probes) and the settings."""
+        rows = assign(self.vectors, self.centroids, self.format.metric)
+        rows.repartition("cid").write.partitionBy("cid").mode("overwrite").parquet(f"{folder}/vectors")
+        settings = json.dumps({"format": asdict(self.format), "runtime": asdict(self.runtime), "centroids": self.centroids})
+        self.spark.createDataFrame([(settings,)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
+
+    @classmethod
+    def load(cls, spark, folder: str) -> VectorIndex:
+        found = json.loads(spark.read.parquet(f"{folder}/settings").first().settings)
+        rows = spark.read.parquet(f"{folder}/vectors").drop("cid")
+        out = cls(spark, Format(**found["format"]), Runtime(**found["runtime"]), rows)
+        out.centroids = [(c, v) for c, v in found["centroids"]]
+        return out
+
     def search(self, query: list[float], k: int = 0) -> DataFrame:
         """``id``, ``distance``, ``metadata`` of the nearest ``k`` (the runtime's ``top_k`` if not positive)."""
         f, r, k = self.format, self.runtime, k if k > 0 else self.runtime.top_k

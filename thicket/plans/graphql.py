@@ -278,6 +278,26 @@ class GraphQL:
                 known.fields.setdefault(name, ref)
         self.roots |= doc.roots
 
+    def save(self) -> None:
+        """Keeps the schema in the store: one definition a type."""
+        self.store.put_many({("__schema", "types", t.name): self.sdl_of(t) for t in self.types.values()})
+        if self.roots:
+            self.store.put(["__schema", "roots"], "schema { " + " ".join(f"{k}: {v}" for k, v in self.roots.items()) + " }")
+
+    @classmethod
+    def load(cls, store) -> GraphQL:
+        rows = store.kv().where(starts_with("path", ["__schema"])).orderBy("path").collect()
+        return cls("\n".join(r.value for r in rows), store=store)
+
+    @staticmethod
+    def sdl_of(t: Type) -> str:
+        if t.kind == "SCALAR":
+            return f"scalar {t.name}"
+        if t.kind == "ENUM":
+            return f"enum {t.name} {{ {' '.join(t.values)} }}"
+        fields = " ".join(f"{n}: {r}" for n, r in t.fields.items())
+        return f'type {t.name} @plural(name: "{t.plural}") {{ {fields} }}'
+
     def register(self, type_name: str, field_name: str, resolver: Resolver) -> None:
         """``resolver(id column, arguments)`` gives the field's column in place of the stored value."""
         self.resolvers[type_name, field_name] = resolver

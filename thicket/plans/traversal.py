@@ -288,6 +288,7 @@ class IndexSchema:
     _FIELD = re.compile(r"(\w+)\s*:\s*(\[?\w+!?\]?!?)\s*(?:@index\(([^)]*)\))?\s*[;,\n]?")
 
     def __init__(self, source: str = ""):
+        self.source = source
         self.indexes: dict[str, tuple[str, ...]] = {}
         self.types: dict[str, dict[str, str]] = {}
         if source.strip() and not self._TYPE.search(source):
@@ -356,6 +357,16 @@ class Graph:
     def expand(self) -> DataFrame:
         return T.expand(self.triples, self.schema.indexes)
 
+    def save(self, folder: str) -> None:
+        """Triples by predicate, and the schema beside them."""
+        T.write(self.triples, f"{folder}/triples")
+        self.spark.createDataFrame([(self.schema.source,)], "source string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/schema")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Graph:
+        rows = spark.read.schema(T.SCHEMA).parquet(f"{folder}/triples").select("s", "p", "o")
+        return cls(rows, spark.read.parquet(f"{folder}/schema").first().source)
+
     def analyse(self) -> Graph:
         self.stats = Stats.of(self.triples)
         return self
