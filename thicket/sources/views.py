@@ -8,8 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_READ: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is read once a session, as a traversal's view names most tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _READ or _READ[key].sparkSession is not spark:
+        _READ[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _READ[key]
 
 
 def _node(kind: str, key: str) -> Column:
