@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 
+from thicket.llm import components as cc
 from thicket.llm import minhash
 from thicket.llm.common import Scratch
 from thicket.llm.components import components, forest
@@ -59,6 +60,25 @@ def test_near_duplicates_match_brute_force(spark):
     assert minhash.near_duplicates(docs(spark).limit(0)).count() == 0
 
 
+def test_large_groups_go_by_tiles(spark, monkeypatch):
+    """Copies of a text that is not there itself: most are linked with few others, so hardly any pair is settled by the heads."""
+    for name, value in (("FEW", 3), ("FAMILY", 4), ("CHUNK", 10), ("TILE", 8)):
+        monkeypatch.setattr(minhash, name, value)
+    rng, rows = np.random.default_rng(9), []
+    for f in range(3):
+        base = [f"b{f}w{j}" for j in range(160)]
+        for i in range(40):
+            copy = list(base)
+            for k in rng.choice(160, 4 + f, replace=False):
+                copy[k] = f"edit{rng.integers(10**9)}"
+            rows.append((f * 100 + i, " ".join(copy), "en"))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    sets = brute_sets(rows)
+    links = [(i, j) for i, a in sets for j, b in sets if 100 * len(a & b) >= 80 * len(a | b)]
+    assert got == brute_components({i for i, _ in sets}, links)
+    assert 3 < len(set(got.values())) < 120
+
+
 def test_estimate_is_close(spark):
     rng = np.random.default_rng(3)
     rows, truth = [], []
@@ -73,12 +93,14 @@ def test_estimate_is_close(spark):
     assert np.abs(got - truth).max() < 0.2 and abs((got - truth).mean()) < 0.03
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000)] + [(6000, 6001 + i) for i in range(500)]
     table = spark.createDataFrame([*edges, (None, 3)], "a long, b long").repartition(5)
-    got = {r.node: r.component for r in components(Scratch(spark, "test"), table).collect()}
-    assert got == brute_components({n for e in edges for n in e}, edges)
+    for limit in (cc.LOCAL, 10):
+        monkeypatch.setattr(cc, "LOCAL", limit)
+        got = {r.node: r.component for r in components(Scratch(spark, "test"), table).collect()}
+        assert got == brute_components({n for e in edges for n in e}, edges)
     assert components(Scratch(spark, "test"), table.limit(0)).count() == 0
     node, root = forest(np.array([5, 4, 9]), np.array([4, 3, 9]))
     assert node.tolist() == [3, 4, 5, 9] and root.tolist() == [3, 3, 3, 9]

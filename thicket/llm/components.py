@@ -39,14 +39,29 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], names=["a", "b"])
 
 
+#: Edges that one task may hold; a smaller graph needs no rounds.
+LOCAL = 1_000_000
+
+
+def _all_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        node, root = forest(*(np.concatenate(x) for x in zip(*parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "component"])
+
+
 def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` (long) and ``component``, the smallest node that it is joined with, for all nodes of ``edges``.
 
     Alternates large-star and small-star steps until nothing changes: each node's neighbours move to its smallest one. Minima are
     added up before the shuffle and joined back, so that a node with very many neighbours is no group in memory; every round is
-    written to the shared folder. Loops and repeated edges do no harm; null ends are left out.
+    written to the shared folder. A graph of at most ``LOCAL`` edges is solved in one task instead. Loops and repeated edges do no
+    harm; null ends are left out.
     """
     ends = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    ends = scratch.keep(ends, "edges")
+    if ends.count() <= LOCAL:
+        return scratch.keep(ends.coalesce(1).mapInArrow(_all_at_once, "node long, component long"), "components")
     nodes = scratch.keep(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     links = ends.where("a != b").mapInArrow(_contract, "a long, b long").distinct()
     links = scratch.keep(links, "links")

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .components import components
+from .components import components, forest
 
 #: Hash functions, rows of a band, and low bits kept of each minimum. 32 bands of 4 miss a pair at 0.8 once in 2 * 10**7.
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 #: Pairs are confirmed on full sets if the estimate reaches the threshold less six standard errors of the estimate.
 _WIDTH = 6
+#: Members of a key, and classes of a family, up to which pairs are listed; members of a chunk and classes of a tile beyond.
+FEW, FAMILY, CHUNK, TILE = 16, 64, 2048, 256
 _CACHE = 300_000
 _CHUNK = 4096
 
@@ -161,8 +163,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
     Returns one row a row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of the group), ``kept`` (id = component_id).
     Rows with equal sets are one class; classes that share a band key are candidates; candidates whose b-bit estimate is not
     clearly too low are confirmed on full sets. Within a band key the classes are first compared with one head each, which joins
-    most; afterwards all pairs that share a key but are not yet in one group are compared, so nothing is capped and no pairs
-    within a group are listed. Rows without words are linked with nothing; rows that share an id are one document; rows without
+    most. Afterwards all pairs that share a key but are not yet in one group are compared, so nothing is capped: those of small
+    keys and families one by one, all others by chunks of signatures and then by tiles of full sets, which give forests of their
+    links and never a list of pairs. Rows without words are linked with nothing; rows that share an id are one document; rows without
     an id have no component and are kept; other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -194,10 +197,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
         scratch.free_shuffles()
         return out
 
-    heads = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    stars = scratch.keep(likely(bands.join(heads, "key").where("a != node").select("a", F.col("node").alias("b")).distinct()), "stars")
+    def in_tiles(large: DataFrame) -> DataFrame:
+        """Links across groups within large families: full sets meet tile by tile, and a forest of the links comes back."""
+        of_group = large.groupBy("family", "group").agg(F.count("*").alias("n"))
+        spread = F.when(F.col("n") > TILE, F.concat_ws("-", F.lit("g"), "group", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TILE)))).otherwise(F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("group"), F.ceil(F.col("rest") / TILE))))
+        pooled = of_group.where(F.col("n") <= TILE).groupBy("family").agg(F.sum("n").alias("rest"))
+        placed = scratch.keep(large.join(of_group, ["family", "group"]).join(pooled, "family", "left").select("family", "group", "node", spread.alias("tile")), "placed")
+        tiles = placed.groupBy("family", "tile").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+        other = tiles.select("family", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        pairs = tiles.join(other, "family").where("tile <= tile2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+        sides = pairs.select("family", F.col("tile").alias("t1"), F.col("tile2").alias("t2"), F.explode(F.array_distinct(F.array("tile", "tile2"))).alias("tile"))
+        wanted = placed.select("node").join(classes.select("node", "rep", "cls"), "node")
+        sets = scratch.keep(shingle_sets(docs, wanted, size, id_col, text_col), "sets-tiles")
+        rows = sides.join(placed, ["family", "tile"]).join(sets, "node").select("family", "t1", "t2", "tile", "group", "node", "items")
+        return scratch.keep(rows.groupBy("family", "t1", "t2").applyInArrow(lambda t: _tile_links(t, threshold), "a long, b long"), "tile-links")
+
+    # Band keys of one class alone join nothing. The head of a key is its member with most company over all of its keys: in a
+    # group made from one text that is the text itself, which its copies resemble more than each other.
+    counts = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    multi = scratch.keep(bands.join(counts, "key").select("key", "node", "n"), "shared-keys")
     scratch.free_shuffles()
-    best = stars.groupBy("b").agg(F.max(F.struct("e", F.negate(F.col("a")).alias("a"))).alias("m")).select(F.negate(F.col("m.a")).alias("a"), "b")
+    company = multi.groupBy("node").agg(F.sum("n").alias("company"))
+    heads = multi.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", F.negate("node").alias("node"))).alias("head"))
+    near_head = multi.join(heads, "key").where("head != node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+    stars = scratch.keep(likely(near_head), "stars")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    best = stars.select("e", ends.alias("p")).groupBy("p.x").agg(F.max_by("p.y", F.struct("e", F.negate("p.y").alias("y"))).alias("y"))
+    best = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = confirmed(scratch.keep(best, "best"), "first")
     # Rows that share an id but not a set are one document.
     shared = known.groupBy("doc_id").agg(F.min("cls").alias("c1"), F.max("cls").alias("c2")).where("c1 != c2").select("doc_id")
@@ -206,14 +232,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
     links = links.unionAll(same)
 
     first = scratch.keep(components(scratch, links), "first-groups")
-    grouped = bands.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 != g2").select("key")
-    members = scratch.keep(grouped.join(mixed, "key"), "mixed")
-    groups = members.select("key", "group").distinct()
-    across = groups.join(groups.select("key", F.col("group").alias("other")), "key").where("group < other")
-    across = across.join(members.select("key", "group", F.col("node").alias("a")), ["key", "group"]).join(members.select("key", F.col("group").alias("other"), F.col("node").alias("b")), ["key", "other"])
-    rest = scratch.keep(likely(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("a", "b").join(best, ["a", "b"], "left_anti"), "rest")
-    links = scratch.keep(links.unionAll(confirmed(rest, "rest")), "all-links")
+    grouped = multi.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("n")).where("g1 != g2").select("key", "n")
+    members = scratch.keep(grouped.join(mixed, "key").join(info, "node"), "mixed")
+    small = members.where(F.col("n") <= FEW).select("key", "group", "node", "i")
+    x, y = (small.select("key", *(F.col(c).alias(f"{c}_{k}" if c != "i" else k) for c in ("group", "node", "i"))) for k in "xy")
+    few = x.join(y, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("group_x") != F.col("group_y")) & close)
+    few = few.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    few = scratch.keep(few, "few")
+    many = scratch.keep(_survivors(members.where(F.col("n") > FEW), threshold, margin), "many")
+    # All pairs still open lie within a family. Small families are confirmed pair by pair, large ones tile by tile.
+    families = scratch.keep(components(scratch, few.unionAll(many)).withColumnRenamed("component", "family"), "families")
+    listed = few.join(families.select(F.col("node").alias("a"), "family"), "a")
+    by_forest = many.join(families.select(F.col("node").alias("a"), "family"), "a").select("family").distinct().withColumn("forest", F.lit(True))
+    kinds = families.groupBy("family").agg(F.count("*").alias("size")).join(by_forest, "family", "left")
+    kinds = scratch.keep(kinds.select("family", (F.col("forest").isNotNull() | (F.col("size") > FAMILY)).alias("large")), "family-kinds")
+    rest = listed.join(kinds.where("not large"), "family")
+    large = families.join(kinds.where("large"), "family").join(first, "node", "left").select("family", "node", F.coalesce("component", "node").alias("group"))
+    found = confirmed(scratch.keep(rest.select("a", "b"), "rest"), "rest").unionAll(in_tiles(scratch.keep(large, "large")))
+    links = scratch.keep(links.unionAll(found), "all-links")
 
     final = components(scratch, links)
     group = classes.join(final, "node", "left").select("cls", "rep", F.coalesce("component", "node").alias("group"))
@@ -224,6 +261,68 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _survivors(members: DataFrame, threshold: float, margin: float) -> DataFrame:
+    """For keys with many members: a forest of the pairs across groups that size and estimate leave possible.
+
+    Members are dealt to chunks of about ``CHUNK`` and compared chunk by chunk, so that a key may have any number of them.
+    """
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).alias("i")
+    dealt = members.select("key", "group", "node", F.col("i").alias("info"), F.ceil(F.col("n") / CHUNK).alias("chunks"), chunk)
+    dealt = dealt.select("key", "group", "node", "info", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("j"))
+    rows = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("own"), "group", "node", "info.*")
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, group, n, own = (t.column(c).to_numpy() for c in ("node", "group", "n_shingles", "own"))
+        sig = np.stack([t.column(f"s{i}").to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
+        low = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+        chance, ends = 2.0**-BITS, []
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        for top in range(0, len(left), 256):
+            at = left[top : top + 256]
+            x = sig[at][:, None, :] ^ sig[right][None, :, :]
+            folded = x
+            for k in range(1, BITS):
+                folded = folded | (x >> np.uint64(k))
+            unequal = np.bitwise_count(folded & low).sum(axis=2, dtype=np.int64)
+            e = ((1 - unequal / HASHES) - chance) / (1 - chance)
+            a, b = n[at][:, None], n[right][None, :]
+            i, j = np.nonzero((e >= threshold - margin) & (group[at][:, None] != group[right][None, :]) & (np.minimum(a, b) >= threshold * np.maximum(a, b)))
+            if len(i):
+                u, v = forest(node[at[i]], node[right[j]])
+                ends.append((u[u != v], v[u != v]))
+        u, v = forest(*(np.concatenate(z) for z in zip(*ends))) if ends else (node[:0], node[:0])
+        return pa.table({"a": np.minimum(u, v)[u != v], "b": np.maximum(u, v)[u != v]})
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _tile_links(t: pa.Table, threshold: float) -> pa.Table:
+    """Confirmed links across groups between the two tiles of a table (or within the one), as a forest."""
+    node, group, tile = t.column("node").to_numpy(), t.column("group").to_numpy(), np.array(t.column("tile").to_pylist())
+    column = t.column("items").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    items, offset = column.values.to_numpy(), column.offsets.to_numpy()
+    size = np.diff(offset)
+    known, items = np.unique(items[offset[0] : offset[-1]], return_inverse=True)
+    offset = offset - offset[0]
+    left = np.flatnonzero(tile == t.column("t1")[0].as_py())
+    right = np.flatnonzero(tile == t.column("t2")[0].as_py())
+    data = np.concatenate([items[offset[k] : offset[k + 1]] for k in right])
+    starts = np.cumsum(size[right]) - size[right]
+    has, percent, ends = np.zeros(len(known), dtype=bool), round(threshold * 100), []
+    for k in left:
+        own = items[offset[k] : offset[k + 1]]
+        has[own] = True
+        common = np.add.reduceat(has[data].astype(np.int64), starts)
+        has[own] = False
+        linked = right[(common * 100 >= percent * (size[k] + size[right] - common)) & (group[right] != group[k])]
+        if len(linked):
+            ends.append((np.full(len(linked), node[k]), node[linked]))
+    u, v = forest(*(np.concatenate(z) for z in zip(*ends))) if ends else (node[:0], node[:0])
+    return pa.table({"a": np.minimum(u, v)[u != v], "b": np.maximum(u, v)[u != v]})
+
+
 def _variance(similarity: float) -> float:
     """Of the estimate, at a true similarity."""
     chance = 2.0**-BITS
