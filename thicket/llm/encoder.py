@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 
@@ -10,9 +11,16 @@ import numpy as np
 
 #: Pieces are cut at single spaces and line breaks; beside these a blank would make a piece depend on its neighbours.
 _UNSAFE = re.compile(r"[^\S \n]|[ \n]{2}|<\||\A[ \n]|[ \n]\Z")
+#: Letters and digits, then ASCII punctuation but for apostrophes and underscores: words always end between the two.
+_TAIL = re.compile(r"([^\W_]+)([!-&(-/:-@\[-^`{-~]+)\Z")
 _CHUNK = 512
 
 
+def _normalizers(tok) -> list[dict]:
+    spec = json.loads(tok.to_str())["normalizer"] or {}
+    return spec.get("normalizers", [spec] if spec else [])
+
+
 class CachedEncoder:
     """Encodes whole texts with a tokenizers file; returns little-endian unsigned 32-bit ids as bytes.
 
@@ -22,7 +30,7 @@ class CachedEncoder:
     ``entries`` bounds the cache; when it is full it is emptied.
     """
 
-    def __init__(self, path: str, entries: int = 250_000):
+    def __init__(self, path: str, entries: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,15 +43,15 @@ class CachedEncoder:
         self.entries = entries
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        #: Whether the file's own normalizer lower-cases: then words that differ in case alone are one.
+        self.folds = any(n["type"] == "Lowercase" for n in _normalizers(self.tok))
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str], cache: dict[str, bytes], lead: str) -> None:
-        if len(self.first) + len(self.spaced) + len(pieces) > self.entries:
-            self.first.clear()
-            self.spaced.clear()
+    def _fill(self, pieces: list[str], cache: dict[str, bytes], lead: str) -> None:
         for i in range(0, len(pieces), _CHUNK):
             part = pieces[i : i + _CHUNK]
             ids = np.array(self.tok.encode(self.sep.join([lead + p for p in part]), add_special_tokens=False).ids, dtype="<u4")
@@ -54,6 +62,24 @@ class CachedEncoder:
             cuts.append(len(data))
             cache.update((p, data[a:z]) for p, a, z in zip(part, cuts, cuts[1:]))
 
+    def _learn(self, pieces: list[str], cache: dict[str, bytes], lead: str) -> None:
+        """Encodes new pieces; of a word with punctuation after it, word and punctuation each on their own, as the tokenizer does."""
+        if len(self.first) + len(self.spaced) + len(pieces) > self.entries:
+            self.first.clear()
+            self.spaced.clear()
+        plan, new = [], {}
+        for p in pieces:
+            m = _TAIL.match(p)
+            body, tail = m.groups() if m else (p, "")
+            whole = body.lower() if self.folds and body.isascii() else body
+            if whole not in cache:
+                new[whole] = None
+            if tail or whole != p:
+                plan.append((p, whole, tail))
+        self._fill(list(new), cache, lead)
+        self._fill(list({t for _, _, t in plan if t not in self.tails}), self.tails, "")
+        cache.update([(p, cache[whole] + self.tails[tail]) for p, whole, tail in plan])
+
     def _known(self, pieces: list[str], cache: dict[str, bytes], lead: str) -> list[bytes]:
         try:
             return list(map(cache.__getitem__, pieces))
