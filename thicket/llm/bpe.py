@@ -6,6 +6,7 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ def byte_symbols() -> list[str]:
 class PairIndexBpe:
     """A byte-level BPE file (tokenizers JSON), applied to many words at once."""
 
-    def __init__(self, path: str, entries: int = 200_000):
+    def __init__(self, path: str, entries: int = 700_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
@@ -55,7 +56,7 @@ class PairIndexBpe:
         self.word_ids: dict[str, tuple[int, ...]] = {}
         self.first: dict[str, tuple[str, int, bytes]] = {}
         self.spaced: dict[str, tuple[str, int, bytes]] = {}
-        self.unsafe = regex.compile(r"[^\S \n]|[ \n]{2}|<\||\A[ \n]|[ \n]\Z")
+        self.unsafe = re.compile(r"[^\S \n]|[ \n]{2}|<\||\A[ \n]|[ \n]\Z")
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of words, by one index over all of them.
