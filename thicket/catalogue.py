@@ -242,6 +242,11 @@ def _query_vector(v: DataFrame, key: int = 0) -> list[float]:
     return v.where(F.col("id") == key).first().embedding
 
 
+def _asked(v: DataFrame) -> list[tuple[str, list[float]]]:
+    """The queries of the searches of many: every row with ``id % 20 = 0``."""
+    return [(str(r.id), list(r.embedding)) for r in v.where("id % 20 = 0").select("id", "embedding").collect()]
+
+
 for _metric in METRICS:
 
     @_plain(f"vec_flat_{_metric}", f"SELECT b.id, round({_DISTANCE_SQL[_metric]}, 4) AS distance FROM v a JOIN v b ON a.id = 0 ORDER BY {_DISTANCE_SQL[_metric]}, b.id LIMIT 10", _VECTORS_SQL)
@@ -253,8 +258,7 @@ for _metric in METRICS:
 @_plain("vec_batch_l2", "SELECT query_id, id, rank, round(d, 4) AS distance FROM (SELECT a.id::VARCHAR AS query_id, b.id, list_distance(a.e, b.e) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.e, b.e), b.id)::INT AS rank FROM v a JOIN v b ON a.id % 50 = 7 AND a.id <> b.id AND b.id % 50 <> 7) WHERE rank <= 5", _VECTORS_SQL)
 def _batch(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
-    asked = [(str(r.id), list(r.embedding)) for r in v.where("id % 50 = 7").collect()]
-    return vectors.batch_search(v.where("id % 50 <> 7"), asked, 5).select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.round("distance", 4).alias("distance"))
+    return vectors.batch_neighbours(v, _asked(v), 5).select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.round("distance", 4).alias("distance"))
 
 
 def label_centroids(v: DataFrame) -> list[tuple[int, list[float]]]:

@@ -37,35 +37,64 @@ def distances(block: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray
     return np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (block**2).sum(1)[None, :] - 2 * queries @ block.T, 0))
 
 
-def batch_search(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int, metric: str = "l2") -> DataFrame:
+def pair_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances row by row, without the cancellation of products: equal vectors have equal distances."""
+    if metric == "l2":
+        return np.sqrt(((x - y) ** 2).sum(1))
+    dot = (x * y).sum(1)
+    if metric == "dot":
+        return -dot
+    norms = np.sqrt((x**2).sum(1)) * np.sqrt((y**2).sum(1))
+    return np.where(norms == 0, 1.0, 1 - dot / np.where(norms == 0, 1.0, norms))
+
+
+def batch_search(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int, metric: str = "l2", probes: np.ndarray | None = None) -> DataFrame:
     """``query_id``, ``id``, ``distance``, ``rank`` of the exact ``k`` nearest of each of many queries: products by blocks.
 
-    At most ``QUERY_BLOCK`` queries go along with one pass; more are searched in several.
+    At most ``QUERY_BLOCK`` queries go along with one pass; more are searched in several. ``probes`` (queries by clusters) limits
+    each query to the vectors whose ``cid`` it may see.
     """
     spark, out = vectors.sparkSession, None
     kind = vectors.schema["id"].dataType.simpleString()
     for a in range(0, max(1, len(queries)), QUERY_BLOCK):
         part = queries[a : a + QUERY_BLOCK]
-        shared = spark.sparkContext.broadcast(([q for q, _ in part], np.array([v for _, v in part], dtype=np.float64)))
+        seen = None if probes is None else probes[a : a + QUERY_BLOCK]
+        shared = spark.sparkContext.broadcast(([q for q, _ in part], np.array([v for _, v in part], dtype=np.float64), seen))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, wanted = shared.value
+            names, wanted, seen = shared.value
             for b in batches:
                 if not b.num_rows or not names:
                     continue
                 x = np.array(b.column(1).to_pylist(), dtype=np.float64)
                 d = distances(x, wanted, metric)
-                best = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if k < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(names), 1))
-                limit = np.take_along_axis(d, best, 1).max(axis=1)
-                at = np.nonzero(d <= limit[:, None])  # all that tie with the kth
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at[0]], pa.string()), b.column(0).take(pa.array(at[1])), pa.array(d[at])], names=["query_id", "id", "distance"])
-
-        found = vectors.select("id", "embedding").mapInArrow(search, f"query_id string, id {kind}, distance double")
+                if seen is not None:
+                    d[~seen[:, b.column(2).to_numpy(zero_copy_only=False)]] = np.inf
+                limit = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else d.max(axis=1)
+                reach = np.sqrt((wanted**2).sum(1)) + np.sqrt((x**2).sum(1).max())
+                near = (d <= (limit + 1e-6 * {"l2": reach, "dot": reach**2, "cosine": 1.0}[metric])[:, None]) & np.isfinite(d)
+                q, at = np.nonzero(near)  # the k nearest and all that rounding could put among them
+                exact = pair_distances(x[at], wanted[q], metric)
+                place = np.argsort(np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable"))
+                order = np.lexsort((place[at], exact, q))
+                q, at, exact = q[order], at[order], exact[order]
+                first = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, at, exact = q[first], at[first], exact[first]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.string()), b.column(0).take(pa.array(at)), pa.array(exact)], names=["query_id", "id", "distance"])
+
+        found = vectors.select("id", "embedding", *(["cid"] if probes is not None else [])).mapInArrow(search, f"query_id string, id {kind}, distance double")
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).alias("rank")
     return out.select("*", rank).where(F.col("rank") <= k)
 
 
+def batch_neighbours(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int, metric: str = "l2", probes: np.ndarray | None = None) -> DataFrame:
+    """``batch_search`` of rows of the table itself: all rows are searched, and only a query's own id is left out."""
+    found = batch_search(vectors, queries, k + 1, metric, probes).where(F.col("id").cast("string") != F.col("query_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 # Inverted file
 
 
