@@ -40,3 +40,18 @@ def test_copies_rank_by_id(spark):
     df = spark.createDataFrame([(i, row) for i in range(200)], "id long, embedding array<double>")
     got = V.batch_neighbours(df, [("150", row)], 5).orderBy("rank").collect()
     assert [(r.id, r.distance) for r in got] == [(i, 0.0) for i in range(5)]
+
+
+def test_recall_is_of_all_queries_with_the_settings_of_an_index(spark, table):
+    from thicket.operators import vectors as V
+
+    ids, x = table
+    centres = np.array([c for _, c in V.train_centroids(catalogue.views.vectors(spark, SF), V.Format(64).clusters)])
+    apart = lambda rows: np.sqrt(((rows[:, None] - centres[None]) ** 2).sum(2))
+    cluster, want = apart(x).argmin(1), {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        probed = np.argsort(apart(x[[q]])[0], kind="stable")[: V.Runtime().nprobe]
+        exact, found = ({i for i, _ in nearest(ids, x, q, V.Runtime().top_k, rows)} for rows in (None, np.flatnonzero(np.isin(cluster, probed))))
+        want[int(ids[q])] = len(exact & found) / len(exact)
+    assert len(centres) == 50
+    assert {r.query_id: r.recall for r in catalogue.queries()["vec_ivf_train_recall"](spark, SF).collect()} == pytest.approx(want)

@@ -302,16 +302,13 @@ def _slsh(spark, sf_dir):
 
 @_plain("vec_ivf_train_recall", None)
 def _recall(spark, sf_dir):
-    """Recall of trained clusters against the exact search, a row a query."""
-    v = views.vectors(spark, sf_dir).select("id", "embedding")
-    centroids = vectors.train_centroids(v, 10)
-    assigned, asked = vectors.assign(v, centroids), v.where("id % 97 = 5").orderBy("id").limit(5).collect()
-    out = []
-    for r in asked:
-        exact = {x.id for x in vectors.flat_search(v, r.embedding, 10).collect()}
-        found = {x.id for x in vectors.ivf_search(assigned, centroids, r.embedding, 10, 8).collect()}
-        out.append((r.id, len(exact & found) / max(1, len(exact))))
-    return spark.createDataFrame(out, "query_id long, recall double")
+    """Recall of trained clusters with the settings of an index against the exact search, a row a query."""
+    v, form, run = views.vectors(spark, sf_dir).select("id", "embedding"), vectors.Format(64, "ivf"), vectors.Runtime()
+    centroids, asked = vectors.train_centroids(v, form.clusters), _asked(v)
+    exact = vectors.batch_neighbours(v, asked, run.top_k).select("query_id", "id")
+    found = vectors.batch_neighbours(vectors.assign(v, centroids), asked, run.top_k, probes=vectors.probe_table(centroids, asked, run.nprobe)).select("query_id", "id", F.lit(1).alias("hit"))
+    recall = (F.count("hit") / F.count("*")).alias("recall")
+    return exact.join(found, ["query_id", "id"], "left").groupBy(F.col("query_id").cast("long").alias("query_id")).agg(recall)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -117,6 +117,14 @@ def ivf_search(assigned: DataFrame, centroids: list[tuple[int, list[float]]], qu
     return flat_search(assigned.where(F.col("cid").isin(nearest_centroids(centroids, query, nprobe, metric))), query, k, metric)
 
 
+def probe_table(centroids: list[tuple[int, list[float]]], queries: list[tuple[str, list[float]]], nprobe: int, metric: str = "l2") -> np.ndarray:
+    """Whether a query (row) sees a cluster (column): the choice of ``ivf_search`` for many queries."""
+    seen = np.zeros((len(queries), len(centroids)), dtype=bool)
+    for row, (_, q) in zip(seen, queries):
+        row[nearest_centroids(centroids, q, nprobe, metric)] = True
+    return seen
+
+
 def train_centroids(vectors: DataFrame, k: int, metric: str = "l2", rounds: int = 10, sample: int = 10_000) -> list[tuple[int, list[float]]]:
     """k-means: seeds drawn by squared distance from a bounded sample, then passes over all vectors; means even for other metrics.
 
