@@ -55,3 +55,17 @@ def test_recall_is_of_all_queries_with_the_settings_of_an_index(spark, table):
         want[int(ids[q])] = len(exact & found) / len(exact)
     assert len(centres) == 50
     assert {r.query_id: r.recall for r in catalogue.queries()["vec_ivf_train_recall"](spark, SF).collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/check_s"])
+def test_slsh_reads_a_thirtieth_of_the_table_on_each_side(spark, sf_dir):
+    t = pq.read_table(f"{sf_dir}/embeddings.parquet")
+    ids, x = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), dtype=np.float64)
+    keys = np.floor(x @ np.array(catalogue.projections()).T / 0.25).astype(int)
+    order, q = np.lexsort((ids, *keys.T[::-1])), int(np.flatnonzero(ids == 0)[0])
+    start = next(n for n, i in enumerate(order) if tuple(keys[i]) >= tuple(keys[q]))
+    radius = max(200, len(ids) // 30)
+    rows = order[max(0, start - radius) : start + radius]
+    want = [(0, 0.0), *nearest(ids, x, q, 9, rows)]
+    got = [(r.id, r.distance) for r in catalogue.queries()["vec_slsh_search"](spark, sf_dir).orderBy("distance", "id").collect()]
+    assert [i for i, _ in got] == [i for i, _ in want] and [d for _, d in got] == pytest.approx([d for _, d in want], abs=1e-4)

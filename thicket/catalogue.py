@@ -297,7 +297,7 @@ def _slsh_key(spark, sf_dir):
 @_plain("vec_slsh_search", "SELECT b.id, round(list_distance(a.e, b.e), 4) AS distance FROM k a JOIN (SELECT * FROM (SELECT k.* FROM k, (SELECT lsh AS q FROM k WHERE id = 0) WHERE (CASE WHEN lsh >= q THEN 1 ELSE 0 END) = 1 ORDER BY lsh, id LIMIT 60) UNION ALL SELECT * FROM (SELECT k.* FROM k, (SELECT lsh AS q FROM k WHERE id = 0) WHERE (CASE WHEN lsh < q THEN 1 ELSE 0 END) = 1 ORDER BY lsh DESC, id DESC LIMIT 60)) b ON a.id = 0 ORDER BY list_distance(a.e, b.e), b.id LIMIT 10", _SLSH_SQL)
 def _slsh(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
-    return vectors.slsh_search(vectors.slsh_key(v, projections(), 0.25), projections(), 0.25, _query_vector(v), 10, 60).select("id", F.round("distance", 4).alias("distance"))
+    return vectors.slsh_search(vectors.slsh_key(v, projections(), 0.25), projections(), 0.25, _query_vector(v), 10, vectors.scan_radius(v.count())).select("id", F.round("distance", 4).alias("distance"))
 
 
 @_plain("vec_ivf_train_recall", None)

@@ -174,6 +174,11 @@ def slsh_key(vectors: DataFrame, projections: list[list[float]], width: float) -
     return vectors.withColumn("lsh", F.array(*keys))
 
 
+def scan_radius(count: int, least: int = 200) -> int:
+    """Rows on each side of the key: a thirtieth of the table, ``least`` at least."""
+    return max(least, count // 30)
+
+
 def slsh_search(keyed: DataFrame, projections: list[list[float]], width: float, query, k: int, radius: int, metric: str = "l2") -> DataFrame:
     """Exact re-ranking of the ``radius`` rows at or after the query's key and the ``radius`` before it."""
     key = F.array(*(F.lit(int(np.floor(np.dot(query, p) / width))) for p in projections))
@@ -275,7 +280,7 @@ class VectorIndex:
         if f.index == "ivf" and self.centroids and self.count() >= r.flat_until:
             out = ivf_search(assign(self.vectors, self.centroids, f.metric), self.centroids, query, k, r.nprobe, f.metric)
         elif f.index == "slsh":
-            radius = max(r.radius, self.count() // 30)
+            radius = scan_radius(self.count(), r.radius)
             out = slsh_search(slsh_key(self.vectors, self.projections, f.width), self.projections, f.width, query, k, radius, f.metric)
         else:
             out = flat_search(self.vectors, query, k, f.metric)
