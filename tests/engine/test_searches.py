@@ -69,3 +69,10 @@ def test_slsh_reads_a_thirtieth_of_the_table_on_each_side(spark, sf_dir):
     want = [(0, 0.0), *nearest(ids, x, q, 9, rows)]
     got = [(r.id, r.distance) for r in catalogue.queries()["vec_slsh_search"](spark, sf_dir).orderBy("distance", "id").collect()]
     assert [i for i, _ in got] == [i for i, _ in want] and [d for _, d in got] == pytest.approx([d for _, d in want], abs=1e-4)
+
+
+def test_read_stream_returns_every_key_in_order(spark):
+    fields = ("custkey", "priority", "status")
+    orders = pq.read_table(f"{SF}/orders.parquet", columns=["o_orderkey"])["o_orderkey"].to_pylist()
+    got = [r.key for r in catalogue.queries()["kv_read_stream"](spark, SF).collect()]
+    assert got == ["/".join(p) for p in sorted(("orders", str(k), f) for k in orders for f in fields)]

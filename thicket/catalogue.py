@@ -137,7 +137,7 @@ def _prefix(spark, sf_dir):
 
 @_plain("kv_read_stream", "SELECT array_to_string(path, '/') AS key FROM kv ORDER BY path LIMIT 25", views.KV_SQL)
 def _stream(spark, sf_dir):
-    return scans.read_stream(views.order_kv(spark, sf_dir), values=False, limit=25)
+    return scans.read_stream(views.order_kv(spark, sf_dir), values=False)
 
 
 @_plain("kv_subtree_scan", "SELECT path[3] AS key, value FROM kv WHERE path[1] = 'orders' AND path[2] = '5'", views.KV_SQL)
