@@ -16,10 +16,12 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: A sentence ends with a line, or with a word that ends so.
 _ENDS = (".", "!", "?", ".\"", "!\"", "?\"", ".)", "!)", "?)", "。", "！", "？")
 _CACHE = 300_000
+#: Bits of a word's hash: only words that agree in all of them share a weight.
+BITS = 62
 
 
 class WordTable:
-    """Maps the words of texts to hash buckets; a word is cut at white space, lower-cased and stripped of punctuation."""
+    """Maps the words of texts to hashes of ``bits`` bits, at most 62; a word is cut at white space, lower-cased and stripped of punctuation."""
 
     def __init__(self, bits: int):
         self.bits = bits
@@ -27,11 +29,11 @@ class WordTable:
 
     def _code(self, word: str) -> int:
         core = _EDGES.sub("", word.lower())
-        bucket = xxhash.xxh32_intdigest(core) >> (32 - self.bits) if core else -1
-        return 2 * bucket + word.endswith(_ENDS)
+        key = xxhash.xxh64_intdigest(core) >> (64 - self.bits) if core else -1
+        return 2 * key + word.endswith(_ENDS)
 
     def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """For each word (and each line end) its bucket, -1 if it has no letter or digit, and whether a sentence ends with it."""
+        """For each word (and each line end) its hash, -1 if it has no letter or digit, and whether a sentence ends with it."""
         words: list[str] = []
         for line in text.split("\n"):
             words += line.split()
@@ -48,7 +50,7 @@ class WordTable:
         return both >> 1, (both & 1).astype(bool)
 
     def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the words of a text and the start of each sentence that has words."""
+        """Hashes of the words of a text and the start of each sentence that has words."""
         bucket, end = self.codes(text)
         number = np.cumsum(end) - end
         keep = bucket >= 0
@@ -62,16 +64,24 @@ class NoisyOr:
 
     weights: np.ndarray
     bias: float
+    #: The hashes that the weights belong to, ascending; without them a word is the place of its weight.
+    keys: np.ndarray | None = None
+    bits: int = BITS
 
-    @property
-    def bits(self) -> int:
-        return len(self.weights).bit_length() - 1
+    def weights_of(self, words: np.ndarray) -> np.ndarray:
+        """Weights of words; those that have none weigh nothing."""
+        if self.keys is None:
+            return self.weights[words].astype(np.float64)
+        if not len(self.keys):
+            return np.zeros(len(words))
+        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+        return np.where(self.keys[at] == words, self.weights[at], 0.0).astype(np.float64)
 
-    def sentence_logits(self, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.weights[buckets].astype(np.float64), starts) + self.bias if len(starts) else np.zeros(0)
+    def sentence_logits(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.weights_of(words), starts) + self.bias if len(starts) else np.zeros(0)
 
-    def score(self, buckets: np.ndarray, starts: np.ndarray) -> float:
-        return float(-np.expm1(-np.logaddexp(0, self.sentence_logits(buckets, starts)).sum()))
+    def score(self, words: np.ndarray, starts: np.ndarray) -> float:
+        return float(-np.expm1(-np.logaddexp(0, self.sentence_logits(words, starts)).sum()))
 
 
 def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, rounds: int = 300, min_docs: int = 4, least_z: float = 3.5, ridge: float = 1e-6, rate: float = 0.1) -> NoisyOr:
@@ -84,33 +94,37 @@ def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     prior = (y.sum() + 0.5) / (len(y) + 1.0)
     sentences = np.array([len(s) for _, s in docs], dtype=np.int64)
     bias = float(np.log(-np.log1p(-prior) / max(1.0, sentences.mean() if len(docs) else 1.0)))
-    weights = np.zeros(1 << bits, dtype=np.float32)
+    nothing = np.zeros(0, dtype=np.int64)
     if not sentences.sum() or y.min() == y.max():
-        return NoisyOr(weights, bias)
-    seen = [np.zeros(1 << bits, dtype=np.int64) for _ in range(2)]
-    for (b, _), label in zip(docs, y):
-        seen[int(label)][np.unique(b)] += 1
+        return NoisyOr(np.zeros(0, dtype=np.float32), bias, nothing, bits)
+    counted = [np.unique(np.concatenate([nothing, *(np.unique(b) for (b, _), label in zip(docs, y) if label == kind)]), return_counts=True) for kind in (0, 1)]
+    keys = np.union1d(counted[0][0], counted[1][0])
+    seen = [np.zeros(len(keys), dtype=np.int64) for _ in range(2)]
+    for kind in (0, 1):
+        seen[kind][np.searchsorted(keys, counted[kind][0])] = counted[kind][1]
+    del counted
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     share = (seen[0] + seen[1]) / len(y)
     error = np.sqrt(np.maximum(share * (1 - share) * (1 / n0 + 1 / n1), 1e-12))
     used = (seen[0] + seen[1] >= min_docs) & (np.abs(seen[1] / n1 - seen[0] / n0) >= least_z * error)
-    column = np.cumsum(used) - 1
+    keys = keys[used]
+    if not len(keys):
+        return NoisyOr(np.zeros(0, dtype=np.float32), bias, nothing, bits)
     # Sentences without such words are alike: their number in each document is enough.
     words, sent, doc, n, size = [], [], [], 0, len(docs)
     plain = sentences.astype(np.float64)
     for i, (b, s) in enumerate(docs):
-        keep = np.flatnonzero(used[b]) if len(s) else []
+        column = np.minimum(np.searchsorted(keys, b), len(keys) - 1)
+        keep = np.flatnonzero(keys[column] == b) if len(s) else []
         if len(keep):
             own, number = np.unique(np.searchsorted(s, keep, side="right"), return_inverse=True)
-            words.append(column[b[keep]])
+            words.append(column[keep])
             sent.append(number + n)
             doc.append(np.full(len(own), i))
             n += len(own)
             plain[i] -= len(own)
-    if not words:
-        return NoisyOr(weights, bias)
     words, sent, doc = np.concatenate(words), np.concatenate(sent), np.concatenate(doc)
-    w = np.zeros(int(used.sum()))
+    w = np.zeros(len(keys))
     m1, m2, b1, b2 = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(sent, weights=w[words], minlength=n) + bias
@@ -124,8 +138,7 @@ def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-8)
         bias -= rate * (b1 / c1) / (np.sqrt(b2 / c2) + 1e-8)
-    weights[used] = w
-    return NoisyOr(weights, float(bias))
+    return NoisyOr(w.astype(np.float32), float(bias), keys, bits)
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -140,19 +153,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: Column | None = None, limit: int = 20_000, bits: int = 20) -> NoisyOr:
-    """Fits on at most ``limit`` labelled rows, the documented bound; their texts become word buckets on the executors."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: Column | None = None, limit: int = 20_000, bits: int = BITS) -> NoisyOr:
+    """Fits on at most ``limit`` labelled rows, the documented bound; their texts become word hashes on the executors."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(bits)
         for b in batches:
             rows = [table.sentences(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0].astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<u4").tobytes() for r in rows], pa.binary()), b.column(2)], names=["words", "starts", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<u4").tobytes() for r in rows], pa.binary()), b.column(2)], names=["words", "starts", "label"])
 
     sample = labelled_sample(docs, labels, label_col, F.lit(True) if allowed is None else allowed, limit)
-    got = sample.mapInArrow(features, "words binary, starts binary, label int").toArrow().to_pydict()
-    rows = [(np.frombuffer(w, "<u4"), np.frombuffer(s, "<u4")) for w, s in zip(got["words"], got["starts"])]
-    return fit_noisy_or(rows, np.array(got["label"], dtype=np.int64), bits)
+    got = sample.mapInArrow(features, "words binary, starts binary, label int").toArrow()
+    rows = [(np.frombuffer(w.as_buffer(), "<i8"), np.frombuffer(s.as_buffer(), "<u4")) for w, s in zip(got["words"], got["starts"])]
+    return fit_noisy_or(rows, np.array(got["label"].to_pylist(), dtype=np.int64), bits)
 
 
 def carrying(docs: DataFrame, scores, text_col: str = "text") -> DataFrame:
@@ -194,8 +207,8 @@ def score(docs: DataFrame, model: NoisyOr, spans_from: float | None = None) -> D
             scores, found = [], []
             for text in b.column(1):
                 text = text.as_py() or ""
-                buckets, starts = table.sentences(text)
-                scores.append(m.score(buckets, starts))
+                words, starts = table.sentences(text)
+                scores.append(m.score(words, starts))
                 if spans_from is not None:
                     found.append(_locate(table, m, text, spans_from) if scores[-1] >= spans_from else [])
             arrays = [b.column(0), pa.array(scores, pa.float64())]
@@ -216,7 +229,7 @@ def _locate(table: WordTable, model: NoisyOr, text: str, least: float) -> list[d
             if word != "\n":
                 words.append(word)
             if code >> 1 >= 0:
-                total += float(model.weights[code >> 1])
+                total += float(model.weights_of(np.array([code >> 1]))[0])
                 any_word = True
             if code & 1:
                 if any_word:
