@@ -2,17 +2,100 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of text that are worked on together, and bytes that one generation of a cache of words may hold.
+SLICE, CACHE = 3_000_000, 20_000_000
+
+
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Start and number of the rows of runs of texts of about ``size`` bytes, one row at least."""
+    length = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(length, length[at] + size, side="right")) - 1)
+        yield at, end - at
+        at = end
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of unsigned 64-bit numbers that spreads all bits (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def frugal(run: Callable) -> Callable:
+    """A function for ``mapInArrow`` that hands unused memory back after each batch: workers outlive their stage."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+        _trim()
+
+    return wrapped
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries do so themselves
+        pass
+
+
+class WordCache:
+    """Values of words, remembered in two generations of bounded bytes: when the younger is full it replaces the older."""
+
+    def __init__(self, value: Callable, limit: int = CACHE):
+        self.value, self.limit, self.held = value, limit, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: list) -> list:
+        young, old = self.young, self.old
+        out = list(map(young.get, words))
+        for i, got in enumerate(out):
+            if got is None:
+                w = words[i]
+                got = old.get(w)
+                if got is None:
+                    got = self.value(w)
+                self.held += 150 + len(w) + (len(got) if isinstance(got, bytes) else 0)
+                out[i] = young[w] = got
+        if self.held > self.limit:
+            self.old, self.young, self.held = young, {}, 0
+        return out
+
+
+def distinct_words(texts: pa.Array, cut: Callable = pc.utf8_split_whitespace) -> tuple[list, np.ndarray, np.ndarray]:
+    """The distinct words of some texts (null as empty), the place among them of each word in turn, and each text's number of words."""
+    lists = cut(pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) else ""))
+    coded = lists.values.dictionary_encode()
+    words, at, edges = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    empty = b"" if pa.types.is_binary(texts.type) else ""
+    if empty in words:  # beside blanks at the ends
+        none = words.index(empty)
+        keep = at != none
+        edges = np.append(0, np.cumsum(keep))[edges]
+        at = at[keep]
+        at = at - (at > none)
+        del words[none]
+    return words, at, np.diff(edges).astype(np.int64)
+
+
 _LOCAL_SHARED: dict[str, str] = {}
 
 

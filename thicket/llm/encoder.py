@@ -1,4 +1,4 @@
-"""Token ids from the installed tokenizers library, with each distinct piece of text encoded once a worker."""
+"""Token ids from the installed tokenizers library, with each distinct piece of a batch of texts encoded once."""
 
 from __future__ import annotations
 
@@ -6,112 +6,120 @@ import functools
 import json
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces are cut at single spaces and line breaks; beside these a blank would make a piece depend on its neighbours.
-_UNSAFE = re.compile(r"[^\S \n]|[ \n]{2}|<\||\A[ \n]|[ \n]\Z")
-#: Letters and digits, then ASCII punctuation but for apostrophes and underscores: words always end between the two.
-_TAIL = re.compile(r"([^\W_]+)([!-&(-/:-@\[-^`{-~]+)\Z")
-_CHUNK = 512
+from .bpe import byte_symbols
+from .common import CACHE, WordCache
 
+#: Letters of which none composes with another or changes its number of code points in lower case, then ASCII punctuation but for
+#: apostrophes and underscores: both kinds of tokenizer end a word between the two, and nowhere within either.
+_PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
+#: Texts whose blanks bear on the ids of a byte-level tokenizer: other than single spaces and line breaks between words.
+_BLANKS = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n]{2}|\A[ \n]|[ \n]\z"
 
-def _normalizers(tok) -> list[dict]:
-    spec = json.loads(tok.to_str())["normalizer"] or {}
-    return spec.get("normalizers", [spec] if spec else [])
+
+def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all runs, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(starts.max(initial=0)) + int(sizes.max(initial=0))) < 1 << 31 else np.int64
+    out = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class CachedEncoder:
-    """Encodes whole texts with a tokenizers file; returns little-endian unsigned 32-bit ids as bytes.
+    """Encodes whole texts with a tokenizers file, many at a time.
 
-    Most words repeat, so a text is cut where the tokenizer itself always cuts and only pieces not met before go to the library,
-    many at a time, parted by a special token that it takes out of the text before anything else. Texts where such a cut could
-    change an id (runs of blanks, other white space, special tokens spelled out) go to the library whole.
-    ``entries`` bounds the cache; when it is full it is emptied.
+    Texts are cut at single spaces and line breaks, where these tokenizers always end a word; the distinct pieces of a slice are
+    found by Arrow, and each goes through the library once. A piece that is one plain word and punctuation goes to the library's
+    model word by word, any other through the library's whole tokenizer. Texts where such a cut could change an id (runs of blanks
+    in a byte-level file, special tokens spelled out) go to the library whole. Pieces are remembered in a cache of
+    bounded bytes.
     """
 
-    def __init__(self, path: str, entries: int = 1_200_000):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        special = [(i, t) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.sep_id, token = special[-1] if special else (None, None)
-        self.sep = token.content if token else None
-        self.entries = entries
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.model = self.tok.model
+        spec = json.loads(self.tok.to_str())
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"]] if spec["normalizer"] else [])]
+        #: Whether blanks are dropped and letters lower-cased, as the file says, or both kept.
+        self.folds = "Lowercase" in kinds
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.letters = {i: c for i, c in enumerate(byte_symbols())}
+        self.lead = "" if self.folds else self.letters[32]
+        self.pieces = WordCache(self._piece, cache)
         self.tails: dict[str, bytes] = {"": b""}
-        #: Whether the file's own normalizer lower-cases: then words that differ in case alone are one.
-        self.folds = any(n["type"] == "Lowercase" for n in _normalizers(self.tok))
-        self.newline = self._whole("\n")
+        self.newline = b"" if self.folds else self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _fill(self, pieces: list[str], cache: dict[str, bytes], lead: str) -> None:
-        for i in range(0, len(pieces), _CHUNK):
-            part = pieces[i : i + _CHUNK]
-            ids = np.array(self.tok.encode(self.sep.join([lead + p for p in part]), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.sep_id)
-            if len(ends) != len(part) - 1:
-                raise ValueError("a piece held a special token")
-            data, cuts = np.delete(ids, ends).tobytes(), [0, *(4 * (ends - np.arange(len(ends)))).tolist()]
-            cuts.append(len(data))
-            cache.update((p, data[a:z]) for p, a, z in zip(part, cuts, cuts[1:]))
-
-    def _learn(self, pieces: list[str], cache: dict[str, bytes], lead: str) -> None:
-        """Encodes new pieces; of a word with punctuation after it, word and punctuation each on their own, as the tokenizer does."""
-        if len(self.first) + len(self.spaced) + len(pieces) > self.entries:
-            self.first.clear()
-            self.spaced.clear()
-        plan, new = [], {}
-        for p in pieces:
-            m = _TAIL.match(p)
-            body, tail = m.groups() if m else (p, "")
-            whole = body.lower() if self.folds and body.isascii() else body
-            if whole not in cache:
-                new[whole] = None
-            if tail or whole != p:
-                plan.append((p, whole, tail))
-        self._fill(list(new), cache, lead)
-        self._fill(list({t for _, _, t in plan if t not in self.tails}), self.tails, "")
-        cache.update([(p, cache[whole] + self.tails[tail]) for p, whole, tail in plan])
-
-    def _known(self, pieces: list[str], cache: dict[str, bytes], lead: str) -> list[bytes]:
-        try:
-            return list(map(cache.__getitem__, pieces))
-        except KeyError:
-            wanted = set(pieces)
-            self._learn([p for p in wanted if p not in cache], cache, lead)
-            if not wanted <= cache.keys():  # the cache has been emptied to make room
-                self._learn([p for p in wanted if p not in cache], cache, lead)
-            return list(map(cache.__getitem__, pieces))
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _tail(self, tail: str) -> bytes:
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        if tail not in self.tails:
+            self.tails[tail] = self._word(tail)
+        return self.tails[tail]
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece: after a line break if it starts with one, else after a space."""
+        if not piece:
             return b""
-        if self.sep is None or _UNSAFE.search(text):
-            return self._whole(text)
-        heads, rest, counts = [], [], []
-        for line in text.split("\n"):
-            pieces = line.split(" ")
-            heads.append(pieces[0])
-            rest += pieces[1:]
-            counts.append(len(pieces) - 1)
-        heads = self._known(heads, self.first, "")
-        rest = self._known(rest, self.spaced, " ")
-        if len(heads) == 1:
-            return heads[0] + b"".join(rest)
-        out, at = [], 0
-        for h, n in zip(heads, counts):
-            out.append(h)
-            out += rest[at : at + n]
-            out.append(self.newline)
-            at += n
-        return b"".join(out[:-1])
+        if m := _PLAIN.fullmatch(piece):
+            line, body, tail = m.groups()
+            if self.folds:
+                body = body.lower()
+            if not body.isascii():
+                body = body.encode().decode("latin-1").translate(self.letters)
+            ids = self._word(body if line else self.lead + body)
+            return (self.newline if line else b"") + ids + self._tail(tail)
+        return self._whole(piece if self.folds or piece[0] == "\n" else " " + piece)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (32-bit) of all texts, one after the other, and where each text's begin, with the end of the last; null as empty."""
+        texts = pc.fill_null(texts, "")
+        unsafe = np.zeros(len(texts), dtype=bool)
+        for token in self.special:
+            unsafe |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if self.folds:
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            unsafe |= pc.match_substring_regex(texts, _BLANKS).to_numpy(zero_copy_only=False)
+            # The first word of a text has no space before it: it is taken as one after a line break, whose id is then left out.
+            cut = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        coded = cut.values.dictionary_encode()
+        found = self.pieces.of(coded.dictionary.to_pylist())
+        size = np.array([len(x) for x in found], dtype=np.int64) // 4
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[at]
+        ids = flat[gather((np.cumsum(size) - size)[at], each)]
+        edges = np.append(0, np.cumsum(each))[cut.offsets.to_numpy()]
+        if not self.folds:
+            ids = np.delete(ids, edges[:-1])
+            edges = edges - np.arange(len(edges))
+        if unsafe.any():
+            parts = [np.frombuffer(self._whole(texts[i].as_py()), dtype="<u4") if unsafe[i] else ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
+            ids = np.concatenate(parts)
+            edges = np.append(0, np.cumsum([len(p) for p in parts]))
+        return ids, edges
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of one text, little-endian unsigned 32-bit."""
+        return self.encode_array(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=2)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, number_within
+from .common import Scratch, frugal, number_within, slices
 from .encoder import encoder
 
 
@@ -90,27 +90,26 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4")
         for b in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(b.column(0), b.column(1)):
-                data = enc.encode(text.as_py()) + end
-                n = len(data) // 4
-                at, k = 0, 0
-                while at < n:
-                    size = (n - at) % capacity or capacity
-                    ids = data[4 * at : 4 * (at + size)]
-                    rows.append((doc.as_py(), k, at, size, zlib.crc32(ids), ids if with_ids else None))
-                    at, k = at + size, k + 1
-            if rows:
-                cols = list(zip(*rows))
-                arrays = [pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
-                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(cols[5], pa.binary())] if with_ids else []), names=names)
+            for first, rows in slices(b.column(1)):
+                flat, edges = enc.encode_array(b.column(1).slice(first, rows))
+                total = np.diff(edges) + 1
+                count = -(-total // capacity)
+                of = np.repeat(np.arange(rows), count)
+                piece = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+                # Only the first piece may be shorter; all others end a whole number of capacities before the document's end.
+                stop = total[of] - (count[of] - 1 - piece) * capacity
+                start = np.maximum(0, stop - capacity)
+                ids = [np.append(flat[a:z], end) if last else flat[a:z] for a, z, last in zip((edges[of] + start).tolist(), (edges[of] + np.minimum(stop, total[of] - 1)).tolist(), (stop == total[of]).tolist())]
+                ids = [x.astype("<u4", copy=False).tobytes() for x in ids]
+                columns = [pa.array(piece, pa.int32()), pa.array(start), pa.array(stop - start), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + of)), *columns, *([pa.array(ids, pa.binary())] if with_ids else [])], names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(cut), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal, slices
 from .encoder import encoder
 
 MAGIC = b"THKSST01"
@@ -188,14 +188,16 @@ def write_tables(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         name = f"{base}/shard-{task.partitionId():06d}.sst"
         part, out = f"{name}.{task.taskAttemptId()}", None
         for b in batches:
-            for doc, text in zip(b.column(0), b.column(1)):
+            docs = b.column(0).to_pylist()
+            for first, rows in slices(b.column(1)):
                 if out is None:
                     out = fs.open_output_stream(part)
                     table = TableWriter(out, width)
-                ids = np.concatenate([np.frombuffer(enc.encode(text.as_py()), dtype="<u4"), end])
-                if width < 4 and ids.max() >> (8 * width):
+                flat, edges = enc.encode_array(b.column(1).slice(first, rows))
+                if width < 4 and max(int(flat.max(initial=0)), end_id) >> (8 * width):
                     raise ValueError(f"an id needs more than {width} bytes")
-                table.add(key_bytes(doc.as_py()), ids)
+                for i, doc in enumerate(docs[first : first + rows]):
+                    table.add(key_bytes(doc), np.append(flat[edges[i] : edges[i + 1]], end))
         if out is not None:
             table.close()
             out.close()
@@ -204,7 +206,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return scratch.keep(ordered.mapInArrow(write, "shard int, path string, docs long, ids long"), "manifest")
+    return scratch.keep(ordered.mapInArrow(frugal(write), "shard int, path string, docs long, ids long"), "manifest")
 
 
 def read_tables(manifest: DataFrame, folder: str) -> DataFrame:
@@ -230,7 +232,7 @@ def read_tables(manifest: DataFrame, folder: str) -> DataFrame:
                             start += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return shards.repartition(tasks, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartition(tasks, "shard").mapInArrow(frugal(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
