@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,13 +12,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .toxicity import carrying, fold, labelled_sample
+from .common import WordCache, distinct_words, frugal, slices
+from .toxicity import fold, labelled, rows_where
 
 #: Buckets of word cores, buckets of word shapes, dimensions, non-zero entries of an index vector.
 CORES, SHAPES, DIM, ENTRIES = 16_384, 512, 64, 2
 _BUCKETS = CORES + SHAPES
 _CHUNK = 256
-_CACHE, _BATCH = 300_000, 100_000
+#: Bytes of text whose words are held at once.
+_SLICE = 2_500_000
 _NON_WORD = re.compile(r"[\W_]+")
 
 
@@ -26,11 +28,11 @@ class Shapes:
     """Maps words (cut at white space) to the bucket of their letters and digits, lower-cased, and to that of their shape."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = WordCache(self.code)
 
     @staticmethod
     def code(word: str) -> int:
-        core = _NON_WORD.sub("", word)
+        core = word if word.isalnum() else _NON_WORD.sub("", word)
         case = 0 if not core else 1 if core.islower() else 2 if core.istitle() else 3 if core.isupper() else 4
         tail = word[-1]
         tail = 0 if tail.isalnum() else 1 if tail in ".,;:?\"')" else 2 if tail == "!" else 3
@@ -38,37 +40,17 @@ class Shapes:
         length = min(7, len(core) // 3)
         shape = ((case * 4 + tail) * 4 + extra) * 4 + length // 2
         bucket = xxhash.xxh32_intdigest(core.lower()) % CORES if core else 0
-        return (bucket << 16 | min(len(core), 127) << 9 | shape % SHAPES) + 0
+        return bucket << 16 | min(len(core), 127) << 9 | shape % SHAPES
 
-    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def distinct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the distinct words of some texts, the place of each word in turn among them, and each text's number of words."""
+        words, at, counts = distinct_words(texts)
+        return np.array(self.known.of(words), dtype=np.int64), at, counts
+
+    def codes(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the words of all texts, and the number of words of each."""
-        words: list[str] = []
-        counts = []
-        for t in texts:
-            w = t.split()
-            words += w
-            counts.append(len(w))
-        try:
-            got = list(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > _CACHE:
-                self.known.clear()
-            self.known.update((w, self.code(w)) for w in set(words) if w not in self.known)
-            got = list(map(self.known.__getitem__, words))
-        return np.array(got, dtype=np.int64), np.array(counts, dtype=np.int64)
-
-
-def batches_of(column: pa.Array, size: int = _BATCH) -> Iterator[tuple[int, list[str]]]:
-    """Texts of a column in runs of bounded length; null texts as empty."""
-    at, part, chars = 0, [], 0
-    for i in range(len(column)):
-        part.append(column[i].as_py() or "")
-        chars += len(part[-1])
-        if chars >= 6 * size:
-            yield at, part
-            at, part, chars = i + 1, [], 0
-    if part:
-        yield at, part
+        code, at, counts = self.distinct(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        return code[at], counts
 
 
 def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -86,19 +68,20 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     dims, signs = index_vectors()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, total = Shapes(), np.zeros(_BUCKETS * DIM)
+        shapes, cores, forms = Shapes(), np.zeros(CORES * DIM), np.zeros(SHAPES * DIM)
         for b in batches:
-            for _, texts in batches_of(b.column(0), 4 * _BATCH):
-                code, counts = shapes.codes(texts)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                core, shape = code >> 16, (code & 511) + CORES
+            for first, rows in slices(b.column(0), _SLICE):
+                code, counts = shapes.codes(b.column(0).slice(first, rows))
+                doc = np.repeat(np.arange(rows), counts)
                 near = np.flatnonzero(doc[1:] == doc[:-1])
-                for a, z in ((near, near + 1), (near + 1, near)):
-                    for target in (core[a], shape[a]):
-                        for source in (core[z], shape[z]):
-                            for k in range(ENTRIES):
-                                total += np.bincount(target * DIM + dims[source, k], weights=signs[source, k], minlength=_BUCKETS * DIM)
-        total = total.astype("<f4").reshape(_BUCKETS, DIM)
+                core, shape = code >> 16, (code & 511) + CORES
+                # A word's own index vector is its core's and its shape's; each neighbour gets it.
+                own, sign = np.hstack([dims[core], dims[shape]]).T.copy(), np.hstack([signs[core], signs[shape]]).T.copy()
+                for target, source in ((near, near + 1), (near + 1, near)):
+                    place, weight = own[:, source], sign[:, source].ravel()
+                    cores += np.bincount((place + core[target] * DIM).ravel(), weight, CORES * DIM)
+                    forms += np.bincount((place + (shape[target] - CORES) * DIM).ravel(), weight, SHAPES * DIM)
+        total = np.append(cores, forms).astype("<f4").reshape(_BUCKETS, DIM)
         chunks = range(0, _BUCKETS, _CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array([i // _CHUNK for i in chunks], pa.int32()), pa.array([total[i : i + _CHUNK].tobytes() for i in chunks], pa.binary())], names=["chunk", "sums"])
 
@@ -110,7 +93,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<f4").tobytes() for s in sums.values()], pa.binary())], names=["chunk", "sums"])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "chunk int, sums binary")
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frugal(count), "chunk int, sums binary")
     got = parts.repartition("chunk").mapInArrow(add, "chunk int, sums binary").collect()
     out = np.zeros((_BUCKETS, DIM))
     for r in got:
@@ -123,6 +106,24 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def _figures(code: np.ndarray, counts: np.ndarray, full: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of the documents ``full``, which have words: figures that pooling loses (length, words' length, repeats, variety, junk)."""
+    n = counts[full].astype(np.float32)
+    core, length = code >> 16, code >> 9 & 127
+    doc = np.repeat(np.arange(len(counts)), counts)
+    same = np.r_[False, (core[1:] == core[:-1]) & (doc[1:] == doc[:-1])]
+    kind = np.int32 if len(counts) * (CORES + 1) < 1 << 31 else np.int64
+    both = np.sort((doc * (CORES + 1) + core).astype(kind))
+    distinct = both[np.r_[True, both[1:] != both[:-1]]] // (CORES + 1)
+    out = np.zeros((len(full), 5), dtype=np.float32)
+    out[:, 0] = np.log1p(n)
+    out[:, 1] = np.add.reduceat(length.astype(np.float32), starts) / n / 10
+    out[:, 2] = np.add.reduceat(same.astype(np.float32), starts) / n
+    out[:, 3] = np.bincount(distinct, minlength=len(counts))[full] / n
+    out[:, 4] = np.add.reduceat((length == 0).astype(np.float32), starts) / n
+    return out
+
+
 def pooled(vectors: np.ndarray, code: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """One row a document: means of its words' core and shape vectors, and a few figures that pooling loses."""
     out = np.zeros((len(counts), 2 * DIM + 5), dtype=np.float32)
@@ -131,20 +132,13 @@ def pooled(vectors: np.ndarray, code: np.ndarray, counts: np.ndarray) -> np.ndar
         return out
     n = counts[full].astype(np.float32)
     starts = (np.cumsum(counts) - counts)[full]
-    core, shape, length = code >> 16, code & 511, code >> 9 & 127
+    core, shape = code >> 16, code & 511
     for a in range(0, len(full), 64):
         rows, z = full[a : a + 64], starts[a + 64] if a + 64 < len(full) else len(code)
         at = slice(starts[a], z)
         out[rows, :DIM] = np.add.reduceat(vectors[core[at]], starts[a : a + 64] - starts[a]) / n[a : a + 64, None]
         out[rows, DIM : 2 * DIM] = np.add.reduceat(vectors[CORES + shape[at]], starts[a : a + 64] - starts[a]) / n[a : a + 64, None]
-    doc = np.repeat(np.arange(len(counts)), counts)
-    same = np.r_[False, (core[1:] == core[:-1]) & (doc[1:] == doc[:-1])]
-    distinct = np.unique(doc * (CORES + 1) + core) // (CORES + 1)
-    out[full, 2 * DIM] = np.log1p(n)
-    out[full, 2 * DIM + 1] = np.add.reduceat(length.astype(np.float32), starts) / n / 10
-    out[full, 2 * DIM + 2] = np.add.reduceat(same.astype(np.float32), starts) / n
-    out[full, 2 * DIM + 3] = np.bincount(distinct, minlength=len(counts))[full] / n
-    out[full, 2 * DIM + 4] = np.add.reduceat((length == 0).astype(np.float32), starts) / n
+    out[full, 2 * DIM :] = _figures(code, counts, full, starts)
     return out
 
 
@@ -218,6 +212,32 @@ class QualityModel:
     vectors: np.ndarray
     network: Network
 
+    def scorer(self) -> Callable[[pa.Array], Iterator[np.ndarray]]:
+        """A function that gives the scores of a column of texts, in order, a run of rows at a time.
+
+        The first layer is linear in the pooled vectors, so that it is applied to the word vectors once; a word then adds a row of
+        the hidden layer's size instead of two whole vectors. The scores are those of ``network.scores(pooled(...))``.
+        """
+        net, shapes = self.network, Shapes()
+        first = net.w1 / net.scale[:, None]
+        core_rows, shape_rows = (self.vectors[:CORES] @ first[:DIM]).astype(np.float32), (self.vectors[CORES:] @ first[DIM : 2 * DIM]).astype(np.float32)
+        rest = net.b1 - net.mean @ first
+
+        def run(column: pa.Array) -> Iterator[np.ndarray]:
+            for at, rows in slices(column, _SLICE):
+                code, place, counts = shapes.distinct(column.slice(at, rows))
+                hidden = np.tile(rest, (rows, 1))
+                full = np.flatnonzero(counts)
+                if len(full):
+                    starts = (np.cumsum(counts) - counts)[full]
+                    words = core_rows[code >> 16] + shape_rows[code & 511]
+                    hidden[full] += np.add.reduceat(words[place], starts) / counts[full, None]
+                    hidden[full] += _figures(code[place], counts, full, starts) @ first[2 * DIM :]
+                logits = np.tanh(hidden) @ net.w2 + net.b2
+                yield 1 / (1 + np.exp(-np.clip(logits / net.temperature, -40, 40)))
+
+        return run
+
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", allowed: Column | None = None, limit: int = 20_000) -> QualityModel:
     """Word vectors come from all documents, the network from at most ``limit`` labelled rows, the documented bound."""
@@ -227,13 +247,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", allowe
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for b in batches:
-            rows = [x for _, texts in batches_of(b.column(1)) for x in pooled(shared.value, *shapes.codes(texts))]
-            yield pa.RecordBatch.from_arrays([pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary()), b.column(2)], names=["x", "label"])
+            for first, n in slices(b.column(1), _SLICE):
+                rows = pooled(shared.value, *shapes.codes(b.column(1).slice(first, n)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary()), b.column(2).slice(first, n)], names=["doc_id", "x", "label"])
 
-    sample = labelled_sample(docs, labels, label_col, F.lit(True) if allowed is None else allowed, limit)
-    got = sample.mapInArrow(features, "x binary, label int").toArrow().to_pydict()
+    sample = labelled(docs, labels, label_col, F.lit(True) if allowed is None else allowed, limit)
+    rows = sample.mapInArrow(frugal(features), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x binary, label int")
+    got = rows.groupBy("doc_id", "label").agg(F.min("x").alias("x")).select("x", "label").toArrow().to_pydict()
     x = np.array([np.frombuffer(r, "<f4") for r in got["x"]]).reshape(-1, 2 * DIM + 5)
-    return QualityModel(vectors, fit_network(x, np.array(got["label"])))
+    order = np.lexsort([*x.T, got["label"]])  # the fit depends on the rows alone, not on the tasks they come from
+    return QualityModel(vectors, fit_network(x[order], np.array(got["label"], dtype=np.int64)[order]))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -241,25 +264,23 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, shapes = shared.value, Shapes()
+        scores = shared.value.scorer()
         for b in batches:
-            for at, texts in batches_of(b.column(1)):
-                s = m.network.scores(pooled(m.vectors, *shapes.codes(texts)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.zeros(0), *scores(b.column(1))]), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), f"doc_id {kind}, score double")
 
 
-def with_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """All columns of ``docs`` and ``__score``."""
+def at_least(docs: DataFrame, model: QualityModel, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches ``least``; null and empty texts are scored, too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scores(texts: pa.Array) -> list[float]:
-        m, shapes = shared.value, Shapes()
-        return [s for _, part in batches_of(texts) for s in m.network.scores(pooled(m.vectors, *shapes.codes(part))).tolist()]
+    def passing() -> Callable[[pa.Array], np.ndarray]:
+        scores = shared.value.scorer()
+        return lambda texts: np.concatenate([np.zeros(0), *scores(texts)]) >= least
 
-    return carrying(docs, scores)
+    return rows_where(docs, passing)
 
 
 #: Documents whose score reaches this are predicted good.
@@ -269,7 +290,9 @@ THRESHOLD = 0.3
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted``: trained on rows whose fold of 5 is not 0, applied to all.
 
-    A null id counts as not held out and is never learnt from; repeated ids are rows like any other; other columns are ignored.
+    A null id counts as not held out and is never learnt from; repeated ids are rows like any other, of which at most one text is
+    learnt from; null and empty texts are scored as texts without words; other columns are ignored, whatever their names; without
+    rows there are none in the result, and without labels of both kinds all rows score alike.
     """
     model = train(docs, labels, "quality", fold("doc_id", 5) != 0)
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))

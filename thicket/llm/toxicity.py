@@ -3,59 +3,76 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, WordCache, distinct_words, frugal, slices
+
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: A sentence ends with a line, or with a word that ends so.
 _ENDS = (".", "!", "?", ".\"", "!\"", "?\"", ".)", "!)", "?)", "。", "！", "？")
-_CACHE = 300_000
 #: Bits of a word's hash: only words that agree in all of them share a weight.
 BITS = 62
 
 
+@dataclass
+class Sentences:
+    """The words of some texts that have a letter or digit, by sentence; only sentences with such words count."""
+
+    #: Hashes of the distinct words, the place among them of each word in turn, and the sentence of each, numbered throughout.
+    words: np.ndarray
+    at: np.ndarray
+    sentence: np.ndarray
+    #: The text of each sentence, and the number of texts.
+    text: np.ndarray
+    texts: int
+
+    def each(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the hashes of its words and the start of each sentence."""
+        first = np.searchsorted(self.sentence, np.arange(len(self.text)))
+        cuts = np.searchsorted(self.text, np.arange(self.texts + 1))
+        edges = np.append(first, len(self.at))[cuts]
+        for i in range(self.texts):
+            yield self.words[self.at[edges[i] : edges[i + 1]]], first[cuts[i] : cuts[i + 1]] - edges[i]
+
+
 class WordTable:
     """Maps the words of texts to hashes of ``bits`` bits, at most 62; a word is cut at white space, lower-cased and stripped of punctuation."""
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.known: dict[str, int] = {}
+        self.known = WordCache(self.code)
 
-    def _code(self, word: str) -> int:
+    def code(self, word: str) -> int:
+        """Twice the hash, -1 for a word without letter or digit, and one more if a sentence ends with the word."""
         core = _EDGES.sub("", word.lower())
         key = xxhash.xxh64_intdigest(core) >> (64 - self.bits) if core else -1
         return 2 * key + word.endswith(_ENDS)
 
-    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """For each word (and each line end) its hash, -1 if it has no letter or digit, and whether a sentence ends with it."""
-        words: list[str] = []
-        for line in text.split("\n"):
-            words += line.split()
-            words.append("\n")
-        try:
-            got = list(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > _CACHE:
-                self.known.clear()
-            self.known["\n"] = -1
-            self.known.update((w, self._code(w)) for w in set(words) if w not in self.known)
-            got = list(map(self.known.__getitem__, words))
-        both = np.array(got, dtype=np.int64)
-        return both >> 1, (both & 1).astype(bool)
+    def read(self, texts: pa.Array) -> Sentences:
+        lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+        words, at, counts = distinct_words(lines.values)
+        both = np.array(self.known.of(words), dtype=np.int64)
+        end = (both & 1).astype(bool)[at]
+        after = np.cumsum(counts)
+        end[after[counts > 0] - 1] = True
+        text = np.repeat(np.arange(len(texts)), np.diff(np.append(0, after)[lines.offsets.to_numpy()]))
+        number = np.cumsum(end) - end
+        keep = (both >> 1)[at] >= 0
+        at, number, text = at[keep], number[keep], text[keep]
+        new = np.r_[True, number[1:] != number[:-1]] if len(number) else np.zeros(0, dtype=bool)
+        return Sentences(both >> 1, at, np.cumsum(new) - 1, text[new], len(texts))
 
     def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of a text and the start of each sentence that has words."""
-        bucket, end = self.codes(text)
-        number = np.cumsum(end) - end
-        keep = bucket >= 0
-        bucket, number = bucket[keep], number[keep]
-        return bucket, np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(bucket) else np.zeros(0, dtype=np.int64)
+        return next(self.read(pa.array([text], pa.string())).each())
 
 
 @dataclass
@@ -83,48 +100,55 @@ class NoisyOr:
     def score(self, words: np.ndarray, starts: np.ndarray) -> float:
         return float(-np.expm1(-np.logaddexp(0, self.sentence_logits(words, starts)).sum()))
 
+    def scores(self, table: WordTable, texts: pa.Array) -> np.ndarray:
+        """Scores of a column of texts, in order."""
+        out = [np.zeros(0)]
+        for first, n in slices(texts):
+            x = table.read(texts.slice(first, n))
+            # Only words that occur are looked up, so that words without letters (-1) don't matter.
+            weights = np.where(x.words >= 0, self.weights_of(np.maximum(x.words, 0)), 0.0)
+            z = np.bincount(x.sentence, weights[x.at], len(x.text)) + self.bias
+            out.append(-np.expm1(-np.bincount(x.text, np.logaddexp(0, z), n)))
+        return np.concatenate(out)
 
-def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, rounds: int = 300, min_docs: int = 4, least_z: float = 3.5, ridge: float = 1e-6, rate: float = 0.1) -> NoisyOr:
-    """Trains word weights from document labels alone, by Adam on the log-likelihood of the noisy-or.
 
-    Only words of at least ``min_docs`` documents whose share among the labelled kinds differs by ``least_z`` standard errors get a
-    weight: with a million words, less would be chance. Without documents of both kinds the model scores all alike.
-    """
-    y = np.asarray(labels, dtype=np.float64)
+#: Documents that a word must be in, and standard errors by which its shares among the kinds must differ, to get a weight.
+MIN_DOCS, LEAST_Z = 4, 3.5
+
+
+def _prior_bias(y: np.ndarray, sentences: np.ndarray) -> float:
     prior = (y.sum() + 0.5) / (len(y) + 1.0)
-    sentences = np.array([len(s) for _, s in docs], dtype=np.int64)
-    bias = float(np.log(-np.log1p(-prior) / max(1.0, sentences.mean() if len(docs) else 1.0)))
-    nothing = np.zeros(0, dtype=np.int64)
-    if not sentences.sum() or y.min() == y.max():
-        return NoisyOr(np.zeros(0, dtype=np.float32), bias, nothing, bits)
-    counted = [np.unique(np.concatenate([nothing, *(np.unique(b) for (b, _), label in zip(docs, y) if label == kind)]), return_counts=True) for kind in (0, 1)]
-    keys = np.union1d(counted[0][0], counted[1][0])
-    seen = [np.zeros(len(keys), dtype=np.int64) for _ in range(2)]
-    for kind in (0, 1):
-        seen[kind][np.searchsorted(keys, counted[kind][0])] = counted[kind][1]
-    del counted
-    n0, n1 = (y == 0).sum(), (y == 1).sum()
-    share = (seen[0] + seen[1]) / len(y)
-    error = np.sqrt(np.maximum(share * (1 - share) * (1 / n0 + 1 / n1), 1e-12))
-    used = (seen[0] + seen[1] >= min_docs) & (np.abs(seen[1] / n1 - seen[0] / n0) >= least_z * error)
-    keys = keys[used]
-    if not len(keys):
-        return NoisyOr(np.zeros(0, dtype=np.float32), bias, nothing, bits)
-    # Sentences without such words are alike: their number in each document is enough.
-    words, sent, doc, n, size = [], [], [], 0, len(docs)
+    return float(np.log(-np.log1p(-prior) / max(1.0, sentences.mean() if len(y) else 1.0)))
+
+
+def columns_of(words: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a text's words those among ``keys``, by their place there, and the sentence of each."""
+    if not len(words) or not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    column = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+    keep = np.flatnonzero(keys[column] == words)
+    return column[keep], np.searchsorted(starts, keep, side="right") - 1
+
+
+def fit_columns(rows: list[tuple[np.ndarray, np.ndarray]], sentences: np.ndarray, labels: np.ndarray, n_words: int, rounds: int = 300, ridge: float = 1e-6, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Word weights and bias by Adam on the log-likelihood of the noisy-or, from document labels alone.
+
+    ``rows`` has for each document its words that can get a weight (as ``columns_of`` gives them), ``sentences`` its number of
+    sentences: those without such words are alike, and their number is enough.
+    """
+    y, size = np.asarray(labels, dtype=np.float64), len(rows)
+    bias = _prior_bias(y, sentences)
+    words, sent, doc, n = [], [], [], 0
     plain = sentences.astype(np.float64)
-    for i, (b, s) in enumerate(docs):
-        column = np.minimum(np.searchsorted(keys, b), len(keys) - 1)
-        keep = np.flatnonzero(keys[column] == b) if len(s) else []
-        if len(keep):
-            own, number = np.unique(np.searchsorted(s, keep, side="right"), return_inverse=True)
-            words.append(column[keep])
-            sent.append(number + n)
-            doc.append(np.full(len(own), i))
-            n += len(own)
-            plain[i] -= len(own)
+    for i, (column, sentence) in enumerate(rows):
+        own, number = np.unique(sentence, return_inverse=True)
+        words.append(column)
+        sent.append(number + n)
+        doc.append(np.full(len(own), i))
+        n += len(own)
+        plain[i] -= len(own)
     words, sent, doc = np.concatenate(words), np.concatenate(sent), np.concatenate(doc)
-    w = np.zeros(len(keys))
+    w = np.zeros(n_words)
     m1, m2, b1, b2 = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(sent, weights=w[words], minlength=n) + bias
@@ -138,7 +162,33 @@ def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-8)
         bias -= rate * (b1 / c1) / (np.sqrt(b2 / c2) + 1e-8)
-    return NoisyOr(w.astype(np.float32), float(bias), keys, bits)
+    return w, float(bias)
+
+
+def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], labels, bits: int, rounds: int = 300, min_docs: int = MIN_DOCS, least_z: float = LEAST_Z) -> NoisyOr:
+    """Trains a model from documents (word hashes, sentence starts) held in memory.
+
+    Only words of at least ``min_docs`` documents whose share among the labelled kinds differs by ``least_z`` standard errors get a
+    weight: with a million words, less would be chance. Without documents of both kinds the model scores all alike.
+    """
+    y = np.asarray(labels, dtype=np.float64)
+    sentences = np.array([len(s) for _, s in docs], dtype=np.int64)
+    nothing = NoisyOr(np.zeros(0, dtype=np.float32), _prior_bias(y, sentences), np.zeros(0, dtype=np.int64), bits)
+    if not sentences.sum() or y.min() == y.max():
+        return nothing
+    counted = [np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(np.unique(b) for (b, _), label in zip(docs, y) if label == kind)]), return_counts=True) for kind in (0, 1)]
+    keys = np.union1d(counted[0][0], counted[1][0])
+    seen = [np.zeros(len(keys), dtype=np.int64) for _ in range(2)]
+    for kind in (0, 1):
+        seen[kind][np.searchsorted(keys, counted[kind][0])] = counted[kind][1]
+    n0, n1 = (y == 0).sum(), (y == 1).sum()
+    share = (seen[0] + seen[1]) / len(y)
+    error = np.sqrt(np.maximum(share * (1 - share) * (1 / n0 + 1 / n1), 1e-12))
+    keys = keys[(seen[0] + seen[1] >= min_docs) & (np.abs(seen[1] / n1 - seen[0] / n0) >= least_z * error)]
+    if not len(keys):
+        return nothing
+    w, bias = fit_columns([columns_of(*d, keys) for d in docs], sentences, y, len(keys), rounds)
+    return NoisyOr(w.astype(np.float32), bias, keys, bits)
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -146,99 +196,139 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, limit: int) -> DataFrame:
-    """Texts and labels of at most ``limit`` labelled documents (those with the lowest hash of the id); null labels don't count."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & allowed).select("doc_id", F.col(label_col).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, limit: int) -> DataFrame:
+    """Ids, texts and labels of at most ``limit`` labelled ids (those with the lowest hash); null labels and ids don't count.
+
+    An id with several labels has the lowest; an id with several rows comes with each of them, and the caller learns from one.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & allowed).groupBy("doc_id").agg(F.min(F.col(label_col).cast("int")).alias("label"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: Column | None = None, limit: int = 20_000, bits: int = BITS) -> NoisyOr:
-    """Fits on at most ``limit`` labelled rows, the documented bound; their texts become word hashes on the executors."""
+    """Fits on at most ``limit`` labelled rows, the documented bound.
+
+    Their texts become word hashes on the executors. The words that get a weight are chosen by an aggregate over the documents'
+    distinct words, as in ``fit_noisy_or``; only these words of the sample come to the driver.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(bits)
         for b in batches:
-            rows = [table.sentences(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<u4").tobytes() for r in rows], pa.binary()), b.column(2)], names=["words", "starts", "label"])
+            for first, n in slices(b.column(1)):
+                rows = list(table.read(b.column(1).slice(first, n)).each())
+                arrays = [pa.array([r[0].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<u4").tobytes() for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(2).slice(first, n), *arrays], names=["doc_id", "label", "words", "starts"])
 
-    sample = labelled_sample(docs, labels, label_col, F.lit(True) if allowed is None else allowed, limit)
-    got = sample.mapInArrow(features, "words binary, starts binary, label int").toArrow()
-    rows = [(np.frombuffer(w.as_buffer(), "<i8"), np.frombuffer(s.as_buffer(), "<u4")) for w, s in zip(got["words"], got["starts"])]
-    return fit_noisy_or(rows, np.array(got["label"].to_pylist(), dtype=np.int64), bits)
+    def document(words, starts) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(words.as_buffer(), "<i8"), np.frombuffer(starts.as_buffer(), "<u4")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label = b.column(1).to_numpy()
+            words = [np.unique(np.frombuffer(w.as_buffer(), "<i8")) for w in b.column(2)]
+            keys, at = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *words]), return_inverse=True)
+            toxic = np.repeat(label == 1, [len(w) for w in words])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at[~toxic], minlength=len(keys))), pa.array(np.bincount(at[toxic], minlength=len(keys)))], names=["word", "n0", "n1"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = labelled(docs, labels, label_col, F.lit(True) if allowed is None else allowed, limit)
+    sample = sample.mapInArrow(frugal(features), f"doc_id {kind}, label int, words binary, starts binary")
+    one = sample.groupBy("doc_id").agg(F.min(F.struct("label", "words", "starts")).alias("x"))
+    sample = scratch.keep(one.select("doc_id", "x.label", "x.words", "x.starts"), "sample")
+    number = sample.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n1")).first()
+    n, n1 = number["n"], number["n1"]
+    keys = np.zeros(0, dtype=np.int64)
+    if 0 < n1 < n:
+        share = (F.col("n0") + F.col("n1")) / n
+        error = F.sqrt(F.greatest(share * (1 - share) * (1 / (n - n1) + 1 / n1), F.lit(1e-12)))
+        counts = sample.mapInArrow(count, "word long, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        chosen = counts.where((F.col("n0") + F.col("n1") >= MIN_DOCS) & (F.abs(F.col("n1") / n1 - F.col("n0") / (n - n1)) >= LEAST_Z * error))
+        keys = np.sort(chosen.select("word").toArrow()["word"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [document(w, s) for w, s in zip(b.column(2), b.column(3))]
+            found = [columns_of(*r, shared.value) for r in rows]
+            arrays = [pa.array([len(r[1]) for r in rows], pa.int64()), *(pa.array([f[i].astype("<i4").tobytes() for f in found], pa.binary()) for i in range(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["doc_id", "label", "sentences", "words", "sentence"])
+
+    got = sample.mapInArrow(choose, f"doc_id {kind}, label int, sentences long, words binary, sentence binary").orderBy("doc_id").toArrow()
+    scratch.drop(sample)
+    y, sentences = got["label"].to_numpy(), got["sentences"].to_numpy()
+    if not len(keys):
+        return NoisyOr(np.zeros(0, dtype=np.float32), _prior_bias(y, sentences), keys, bits)
+    w, bias = fit_columns([tuple(np.frombuffer(x.as_buffer(), "<i4") for x in r) for r in zip(got["words"], got["sentence"])], sentences, y, len(keys))
+    return NoisyOr(w.astype(np.float32), bias, keys, bits)
 
 
-def carrying(docs: DataFrame, scores, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``__score``: ``scores`` gives one for each text of an Arrow column, in order."""
+def rows_where(docs: DataFrame, passing: Callable[[], Callable[[pa.Array], np.ndarray]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that pass: ``passing()`` gives a task a function from an Arrow column of texts
+    to a mask. Columns travel by number, so that their names don't matter."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = passing()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(b.column(names.index(text_col))), pa.float64())], names=[*b.schema.names, "__score"])
+            yield b.filter(pa.array(test(b.column(len(names))), pa.bool_())).select(range(len(names)))
 
-    renamed = docs.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(names)))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema)
-    return renamed.mapInArrow(run, f"{schema}, __score double").select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(names)), "__score")
+    renamed = docs.select(*(F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names)), F.col(text_col).cast("string").alias("text"))
+    schema = ", ".join(f"c_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    return renamed.mapInArrow(frugal(run), schema).toDF(*names)
 
 
-def with_scores(docs: DataFrame, model: NoisyOr) -> DataFrame:
-    """All columns of ``docs`` and ``__score``."""
+def below(docs: DataFrame, model: NoisyOr, most: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score stays below ``most``; null and empty texts score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scores(texts: pa.Array) -> list[float]:
-        table = WordTable(shared.value.bits)
-        return [shared.value.score(*table.sentences(t.as_py() or "")) for t in texts]
+    def passing() -> Callable[[pa.Array], np.ndarray]:
+        model, table = shared.value, WordTable(shared.value.bits)
+        return lambda texts: model.scores(table, texts) < most
 
-    return carrying(docs, scores)
+    return rows_where(docs, passing)
 
 
 def score(docs: DataFrame, model: NoisyOr, spans_from: float | None = None) -> DataFrame:
     """Scores every whole text: ``doc_id``, ``score`` and, with ``spans_from``, ``offending``.
 
-    ``offending`` lists the sentences (number, from 0, among those with words; probability; text of the sentence's words joined by
-    spaces as they stand) whose own probability is at least ``spans_from``. Null and empty texts have no sentence and score 0.
+    ``offending`` is empty where the score is less than ``spans_from``; else it lists the sentences (number, from 0, among those
+    with words; probability; text of the sentence's words joined by spaces as they stand) whose own probability is at least
+    ``spans_from``, or the likeliest one if many sentences make up the score. Null and empty texts have no sentence and score 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        table = WordTable(m.bits)
+        m, table = shared.value, WordTable(shared.value.bits)
         for b in batches:
-            scores, found = [], []
-            for text in b.column(1):
-                text = text.as_py() or ""
-                words, starts = table.sentences(text)
-                scores.append(m.score(words, starts))
-                if spans_from is not None:
-                    found.append(_locate(table, m, text, spans_from) if scores[-1] >= spans_from else [])
+            scores = m.scores(table, b.column(1))
             arrays = [b.column(0), pa.array(scores, pa.float64())]
             if spans_from is not None:
+                found = [_locate(table, m, b.column(1)[i].as_py() or "", spans_from) if s >= spans_from else [] for i, s in enumerate(scores.tolist())]
                 arrays.append(pa.array(found, pa.list_(pa.struct([("sentence", pa.int32()), ("probability", pa.float64()), ("text", pa.string())]))))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "offending"][: len(arrays)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, score double" + (", offending array<struct<sentence: int, probability: double, text: string>>" if spans_from is not None else "")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 
 def _locate(table: WordTable, model: NoisyOr, text: str, least: float) -> list[dict]:
-    out, number, words, total, any_word = [], 0, [], 0.0, False
+    """The offending sentences of one text."""
+    spans: list[list[str]] = [[]]
     for line in text.split("\n"):
-        for word in [*line.split(), "\n"]:
-            code = -1 if word == "\n" else table._code(word)
-            if word != "\n":
-                words.append(word)
-            if code >> 1 >= 0:
-                total += float(model.weights_of(np.array([code >> 1]))[0])
-                any_word = True
-            if code & 1:
-                if any_word:
-                    p = 1 / (1 + np.exp(-(total + model.bias)))
-                    if p >= least:
-                        out.append({"sentence": number, "probability": float(p), "text": " ".join(words)})
-                    number += 1
-                words, total, any_word = [], 0.0, False
-    return out
+        for word in line.split():
+            spans[-1].append(word)
+            if table.code(word) & 1:
+                spans.append([])
+        spans.append([])
+    spans = [s for s in spans if any(table.code(w) >= 0 for w in s)]
+    words, starts = table.sentences(text)
+    p = 1 / (1 + np.exp(-np.clip(model.sentence_logits(words, starts), -500, 500)))
+    at = np.flatnonzero(p >= least) if (p >= least).any() else [int(np.argmax(p))] if len(p) else []
+    return [{"sentence": int(i), "probability": float(p[i]), "text": " ".join(spans[i])} for i in at]
 
 
 #: Documents whose score reaches this are predicted toxic.
@@ -246,11 +336,13 @@ THRESHOLD = 0.7
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score``, ``predicted``: trained on rows whose fold of 3 is not 1, applied to all.
+    """``doc_id``, ``held_out``, ``score``, ``predicted``, ``offending``: trained on rows whose fold of 3 is not 1, applied to all.
 
-    A null id counts as not held out and is never learnt from; repeated ids are rows like any other.
+    A null id counts as not held out and is never learnt from; repeated ids are rows like any other, of which at most one text is
+    learnt from; null and empty texts score 0; other columns are ignored, whatever their names; without rows there are none in the
+    result, and without labels of both kinds no word has a weight.
     """
     model = train(docs, labels, "toxic", fold("doc_id", 3) != 1)
-    out = score(docs, model)
+    out = score(docs, model, THRESHOLD)
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending")
