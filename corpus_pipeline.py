@@ -25,13 +25,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.3; the classifier learns from this stage's own input and the labels' training folds."""
     model = quality.train(docs, _labels(spark, sf_dir), "quality", toxicity.fold("doc_id", 5) != 0)
-    return quality.with_scores(docs, model).where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.at_least(docs, model, quality.THRESHOLD)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.7."""
     model = toxicity.train(docs, _labels(spark, sf_dir), "toxic", toxicity.fold("doc_id", 3) != 1)
-    return toxicity.with_scores(docs, model).where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.below(docs, model, toxicity.THRESHOLD)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that also start in a document with a smaller id."""
-    out = substring_dedup.remove_repeats(docs, with_text=True)
-    chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*({"text": F.col("kept_text").alias("text"), "n_chars": chars.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns))
+    return substring_dedup.without_repeats(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
