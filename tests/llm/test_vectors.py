@@ -78,3 +78,18 @@ def test_search_ends_early_and_is_exact():
         distance = np.bitwise_count(codes ^ codes[q]).sum(axis=1)
         assert best == sorted((int(d), i) for i, d in enumerate(distance) if i != q)[:5]
         assert compared < len(codes) // 4
+
+
+def test_very_large_and_very_small_components_link_by_direction(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [3.0, 3.0]), (4, [1e-200, 1e-200]), (5, [1e-200, 0.0]), (6, [2e-200, 0.0]), (7, [5e-324, 5e-324]), (8, [-1.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 7: (4, 1), 5: (1, 5), 6: (1, 5), 8: (0, 8)}
+
+
+def test_bounds_are_each_vectors_own():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 32))
+    x[0, 0] = 1000  # a spiky vector widens nobody else's step
+    alone, together = vector_dedup.quantised(vector_dedup.unit(x[1:])), vector_dedup.quantised(vector_dedup.unit(x))
+    assert (alone.step == together.step[1:]).all() and (alone.error == together.error[1:]).all() and (alone.q == together.q[1:]).all()
+    assert (np.abs(vector_dedup.unit(x) - together.q * together.step[:, None]) <= together.error[:, None]).all()

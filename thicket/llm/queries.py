@@ -63,13 +63,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
-#: All pairs by their definition: fit for small tables only, and independent of the tiles.
+#: All pairs by their definition: fit for small tables only, and independent of the tiles. Vectors are scaled by powers of two, which
+#: changes no cosine, so that squares of very large and very small components neither overflow nor vanish.
 _OP1 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-), good AS (
-  SELECT vec_id, e FROM v
+), directed AS (
+  SELECT vec_id, e, -floor(log2(list_max(list_transform(e, lambda x: abs(x))))) AS k FROM v
   WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), good AS (
+  SELECT vec_id, list_transform(e, lambda x: x * pow(2.0, least(k, 1000)) * pow(2.0, greatest(k - 1000, 0))) AS e FROM directed
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95
