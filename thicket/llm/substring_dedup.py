@@ -1,4 +1,4 @@
-"""Substring dedup: repeated word windows as edges of a De Bruijn graph, compacted to paths and verified at their sources."""
+"""Substring dedup: repeated word windows as edges of a De Bruijn graph, compacted to paths by joins and verified at their sources."""
 
 from __future__ import annotations
 
@@ -7,50 +7,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, WordCache, distinct_words, frugal, gather, mix, slices
 
 #: Words of a window (an edge: two nodes of one word less), and of the shorter runs whose least hash picks a window's bucket.
 WINDOW, SEED_WORDS = 13, 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 300_000
 #: Words that a task looks at together.
 BATCH = 600_000
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words."""
     out = np.zeros(len(h) - n + 1, dtype=np.uint64)
     for j in range(n):
         out = out * _BASE + h[j : len(h) - n + 1 + j]
-    return _mix(out)
+    return mix(out)
+
+
+def word_hash(word: str) -> int:
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
 
 
 class WordHashes:
+    """Hashes of the words of texts; words are runs of bytes other than ASCII blanks."""
+
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        try:
-            got = list(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > _CACHE:
-                self.known.clear()
-            for w in words:
-                if w not in self.known:
-                    h = xxhash.xxh3_64_intdigest(w)
-                    self.known[w] = h - (1 << 64) if h >> 63 else h
-            got = list(map(self.known.__getitem__, words))
-        return np.array(got, dtype=np.int64).view(np.uint64)
+        self.known = WordCache(word_hash)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each word of a column of texts, and each text's number of words."""
+        words, at, counts = distinct_words(texts, pc.ascii_split_whitespace)
+        return np.array(self.known.of(words), dtype=np.int64)[at].view(np.uint64), counts
 
 
 def _repeats(h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,68 +110,107 @@ def _unpack(table: pa.Table, edges: bool) -> dict[str, np.ndarray]:
     return out
 
 
-def _edges_of(ids: np.ndarray, lengths: np.ndarray, h: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Edges of some documents, in ascending order of id: those that may be first occurrences by bucket, the others as pieces."""
-    total = len(h)
-    if total < WINDOW:
-        return
-    edge, seed = _rolling(h, WINDOW), _rolling(h, SEED_WORDS)
-    least = seed[: total - WINDOW + 1].copy()
+def _least_seeds(h: np.ndarray) -> np.ndarray:
+    """For each window of a row of words the least hash of its runs of ``SEED_WORDS`` words."""
+    seed = _rolling(h, SEED_WORDS)
+    least = seed[: len(h) - WINDOW + 1].copy()
     for j in range(1, WINDOW - SEED_WORDS + 1):
-        np.minimum(least, seed[j : total - WINDOW + 1 + j], out=least)
-    ends = np.cumsum(lengths)
-    number = np.repeat(np.arange(len(ids)), lengths)[: total - WINDOW + 1]
-    places = np.flatnonzero(np.arange(total - WINDOW + 1) + WINDOW <= ends[number])
+        np.minimum(least, seed[j : len(h) - WINDOW + 1 + j], out=least)
+    return least
+
+
+def _windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of documents whose words stand one after the other: the places where a window begins, and the document of each."""
+    ends, size = np.cumsum(lengths), np.maximum(lengths - WINDOW + 1, 0)
+    return gather(ends - lengths, size), np.repeat(np.arange(len(lengths)), size)
+
+
+def _edges_of(ids: np.ndarray, lengths: np.ndarray, h: np.ndarray, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Edges of some documents, in ascending order of id: those that may be first occurrences by bucket, the others as pieces."""
+    places, number = _windows(lengths)
     if not len(places):
         return
-    edge, least, number = edge[places], least[places], number[places]
-    doc, start = ids[number], places - (ends - lengths)[number]
+    edge, least = _rolling(h, WINDOW)[places], _least_seeds(h)[places]
+    doc, start = ids[number], places - (np.cumsum(lengths) - lengths)[number]
     again, src, at = _repeats(edge, doc, start)
     if len(again):
         found = compact(doc[again], start[again], np.ones(len(again), dtype=np.int64), src, at)
-        yield _blobs(found[0] % buckets, dict(zip(_PIECES, found)))
+        # A negative number of edges: the place is the first that this task knows of.
+        yield _blobs(found[0] % buckets, dict(zip(_PIECES, (*found[:2], -found[2], *found[3:]))))
     keep = np.ones(len(edge), dtype=bool)
     keep[again] = False
     edge, least, number, start = edge[keep], least[keep], number[keep], start[keep]
     if not len(edge):
         return
-    new = np.r_[True, (least[1:] != least[:-1]) | (number[1:] != number[:-1]) | (start[1:] != start[:-1] + 1)]
+    # Windows of a seed that is very common are dealt out by their own hash.
+    bucket = (np.where(np.isin(least, hot), edge, least) % np.uint64(buckets)).astype(np.int64)
+    new = np.r_[True, (bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1]) | (start[1:] != start[:-1] + 1)]
     heads = np.flatnonzero(new)
     n = np.diff(np.r_[heads, len(edge)])
     if n.max() >= 1 << 16:  # a run of one repeated word: parts of it go to the same bucket
         heads = np.union1d(heads, np.arange(0, len(edge), 1 << 15))
         n = np.diff(np.r_[heads, len(edge)])
-    yield _blobs((least[heads] % np.uint64(buckets)).astype(np.int64), {"doc": ids[number[heads]], "start": start[heads], "n": n}, edge)
+    yield _blobs(bucket[heads], {"doc": ids[number[heads]], "start": start[heads], "n": n}, edge)
+
+
+#: Bytes of text whose edges one bucket may have; one document in so many is looked at for common seeds, of which so many are kept.
+BUCKET_BYTES, SAMPLED, HOT_SEEDS = 16_000_000, 64, 100_000
+
+
+def dealing(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of buckets, which grows with the texts, and the seeds so common that one would overfill its bucket.
+
+    The seeds are found in a sixty-fourth of the documents. They decide where an edge is looked up and nothing else: all tasks use
+    the same list, so a seed that was missed makes a bucket larger but loses no edge.
+    """
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            for first, n in slices(b.column(0)):
+                h, counts = hashes.of(b.column(0).slice(first, n))
+                places, _ = _windows(counts)
+                found, number = np.unique(_least_seeds(h)[places], return_counts=True) if len(places) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(number)], names=["seed", "n"])
+
+    # Words have six bytes or so: a quarter of a bucket's windows, as far as the sample goes.
+    least = max(16, size // 6 // SAMPLED // buckets // 4)
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(frugal(seeds), "seed long, n long")
+    common = some.groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "seed").limit(HOT_SEEDS)
+    return buckets, np.sort(np.array([r.seed for r in common.collect()], dtype=np.int64).view(np.uint64))
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, buckets: int, batch: int = BATCH) -> DataFrame:
-    """Paths of edges of each document that also occur in one with a smaller id: ``doc``, ``start``, ``words``, ``src``, ``at``.
+def repeated_spans(docs: DataFrame, scratch: Scratch, batch: int = BATCH) -> DataFrame:
+    """Runs of edges of each document that also occur in one with a smaller id: ``doc``, ``start``, ``words``, ``src``, ``at``.
 
     Edges go to the bucket of their least seed, so that neighbours mostly stay together; an edge met in several documents of a
     task goes out once, for the smallest id, which keeps passages that very many documents share from filling one bucket. Each
-    bucket finds the first place of its edges and compacts neighbours to pieces; pieces then meet by document and are joined end
-    to end.
+    bucket finds the first place of its edges, the edge's place in the graph; neighbours with neighbouring places travel on as one.
+    Edges that a task settled by itself are then traced through their source to that first place, so that an edge has only one.
     """
+    buckets, hot = dealing(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        ids, parts, size = [], [], 0
+        ids, lengths, words, size = [], [], [], 0
 
         def flush():
-            order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
-            chosen = [parts[i] for i in order]
-            yield from _edges_of(np.array(ids, dtype=np.int64)[order], np.array([len(p) for p in chosen], dtype=np.int64), np.concatenate(chosen), buckets)
+            doc, length, h = np.concatenate(ids), np.concatenate(lengths), np.concatenate(words)
+            order = np.argsort(doc, kind="stable")
+            yield from _edges_of(doc[order], length[order], h[gather((np.cumsum(length) - length)[order], length[order])], buckets, hot)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                words = (text.as_py() or b"").split()
-                if len(words) >= WINDOW:
-                    ids.append(doc)
-                    parts.append(hashes.of(words))
-                    size += len(words)
-                    if size >= batch:
-                        yield from flush()
-                        ids, parts, size = [], [], 0
+            for first, n in slices(b.column(1)):
+                h, counts = hashes.of(b.column(1).slice(first, n))
+                ids.append(b.column(0).slice(first, n).to_numpy())
+                lengths.append(counts)
+                words.append(h)
+                size += len(h)
+                if size >= batch:
+                    yield from flush()
+                    ids, lengths, words, size = [], [], [], 0
         if ids:
             yield from flush()
 
@@ -198,33 +230,169 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, buckets: int, batch: int =
         return pa.Table.from_batches([_blobs(cols[0] % buckets, dict(zip(_PIECES, cols)))]) if len(cols[0]) else _EMPTY
 
     def join(table: pa.Table) -> pa.Table:
-        x = _unpack(table, False)
-        doc, start, n, src, at = compact(*(x[c] for c in _PIECES))
-        return pa.table({"doc": doc, "start": start, "words": n + (WINDOW - 1), "src": src, "at": at})
+        x, out = _unpack(table, False), []
+        for settled in (True, False):
+            at = (x["n"] > 0) == settled
+            doc, start, n, src, place = compact(*(np.abs(x[c][at]) if c == "n" else x[c][at] for c in _PIECES))
+            out.append(pa.table({"doc": doc, "start": start, "words": n + (WINDOW - 1), "src": src, "at": place, "settled": np.full(len(doc), settled)}))
+        return pa.concat_tables(out)
 
     rows = docs.where("doc_id is not null").select("doc_id", "text")
-    pieces = rows.mapInArrow(scan, _BLOB).groupBy("bucket").applyInArrow(resolve, _BLOB)
-    return scratch.keep(pieces.groupBy("bucket").applyInArrow(join, "doc long, start long, words long, src long, at long"), "spans")
+    pieces = rows.mapInArrow(frugal(scan), _BLOB).groupBy("bucket").applyInArrow(resolve, _BLOB)
+    found = scratch.keep(pieces.groupBy("bucket").applyInArrow(join, f"{_SPAN}, settled boolean"), "found")
+    settled = found.where("settled").drop("settled")
+    known = settled.groupBy(F.col("doc").alias("source")).agg(F.collect_list(F.struct("start", "words", "src", "at")).alias("known"))
+    local = found.where("not settled").drop("settled")
+    traced = local.join(known, local["src"] == known["source"], "left").select(*local.columns, "known").mapInArrow(_trace, _SPAN)
+    return scratch.keep(settled.unionAll(traced), "spans")
+
+
+_SPAN = "doc long, start long, words long, src long, at long"
+
+
+def _trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans whose source is the first that a task knew of, moved to where that source's own spans say that its edges come from."""
+    for b in batches:
+        out: list[tuple] = []
+        for doc, start, words, src, at, known in zip(*(c.to_pylist() for c in b.columns)):
+            move, here, end = start - at, at, at + words - (WINDOW - 1)
+            for k in sorted(known or (), key=lambda k: k["start"]):
+                lo, hi = max(here, k["start"]), min(end, k["start"] + k["words"] - (WINDOW - 1))
+                if lo < hi:
+                    if here < lo:
+                        out.append((doc, here + move, lo - here + WINDOW - 1, src, here))
+                    out.append((doc, lo + move, hi - lo + WINDOW - 1, k["src"], k["at"] + lo - k["start"]))
+                    here = hi
+            if here < end:
+                out.append((doc, here + move, end - here + WINDOW - 1, src, here))
+        cols = list(zip(*out)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "start", "words", "src", "at"])
 
 
 _EMPTY = pa.table({"bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("doc", "start", "n", "edge", "src", "at")}})
 
 
+def _by_source(spans: DataFrame) -> DataFrame:
+    """For each source the stretches asked for: ``src``, ``asked`` (place and words); no more of them than pairs of its words."""
+    return spans.select("src", "at", "words").distinct().groupBy("src").agg(F.collect_list(F.struct("at", "words")).alias("asked"))
+
+
+def source_runs(asked: DataFrame) -> DataFrame:
+    """The edges of each source, as maximal runs: ``src``, ``at``, ``n``."""
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for src, spans in zip(b.column(0).to_pylist(), b.column(1)):
+                begin, end = _union(*(spans.values.field(i).to_numpy() for i in range(2)))
+                out += zip([src] * len(begin), begin.tolist(), (end - begin).tolist())
+            cols = list(zip(*out)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["src", "at", "n"])
+
+    return asked.mapInArrow(union, "src long, at long, n long")
+
+
+def _union(at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of edges that make up some stretches of words: first edge, and the one after the last."""
+    order = np.argsort(at, kind="stable")
+    begin, end = at[order], np.maximum.accumulate((at + words - (WINDOW - 1))[order])
+    heads = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
+    return begin[heads], end[np.r_[heads[1:], len(end)] - 1]
+
+
+def compacted(scratch: Scratch, sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """Compacts the De Bruijn graph of the repeated edges: ``src``, ``at``, ``n``, ``unitig``, ``offset``.
+
+    Nodes are runs of 12 words, the edges those windows that occur in several documents; each edge has one place, that of its
+    first occurrence, so that its number of places is a node's degree. Runs of edges in a source are cut at nodes with several
+    ways in or out, by a join of the nodes' places with their degrees. Where a node has one way in, which ends a run, and one way
+    out, which begins another, the two are one path; such chains are followed by joins that double the distance each time. A row is
+    the part of a path that stands in one source; ``offset`` counts the path's edges before it.
+    """
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            for first, rows in slices(b.column(1)):
+                h, counts = hashes.of(b.column(1).slice(first, rows))
+                if len(h) < WINDOW:
+                    continue
+                node, edges = _rolling(h, WINDOW - 1).view(np.int64), np.append(0, np.cumsum(counts))
+                out = {c: [] for c in ("src", "pos", "node", "ins", "outs")}
+                for i in range(rows):
+                    asked = b.column(2)[first + i].values
+                    begin, end = _union(*(asked.field(k).to_numpy() for k in range(2)))
+                    fits = np.minimum(end, counts[i] - (WINDOW - 1)) > begin  # else another row with this id
+                    begin, end = begin[fits], np.minimum(end, counts[i] - (WINDOW - 1))[fits]
+                    pos = gather(begin, end - begin + 1).astype(np.int64)
+                    out["src"].append(np.full(len(pos), b.column(0)[first + i].as_py()))
+                    out["pos"].append(pos)
+                    out["node"].append(node[edges[i] + pos])
+                    out["ins"].append((~np.isin(pos, begin)).astype(np.int8))
+                    out["outs"].append((~np.isin(pos, end)).astype(np.int8))
+                yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in out.items()})
+
+    places = scratch.keep(sources.mapInArrow(frugal(nodes), "src long, pos long, node long, ins byte, outs byte"), "nodes")
+    degrees = places.groupBy("node").agg(F.sum("ins").alias("in_degree"), F.sum("outs").alias("out_degree"), F.count("*").alias("places")).where("places > 1")
+    shared = scratch.keep(places.join(degrees, "node"), "shared-nodes")
+    scratch.drop(places)
+    cuts = shared.where("ins = 1 and outs = 1").select("src", "pos")
+    bounds = runs.select("src", F.col("at").alias("pos"), F.lit(1).alias("open")).unionAll(runs.select("src", (F.col("at") + F.col("n")).alias("pos"), F.lit(0).alias("open")))
+    # A cut within a run goes on; at a run's ends its own bounds tell.
+    bounds = bounds.unionAll(cuts.select("src", "pos", F.lit(2).alias("open"))).groupBy("src", "pos").agg(F.min("open").alias("open"))
+    after = Window.partitionBy("src").orderBy("pos")
+    paths = bounds.select("src", F.col("pos").alias("at"), (F.lead("pos").over(after) - F.col("pos")).alias("n"), "open").where("open > 0")
+    paths = scratch.keep(paths.select(F.monotonically_increasing_id().alias("path"), "src", "at", "n"), "paths")
+    # Simple nodes: one way in, the end of one run, and one way out, the start of another.
+    simple = shared.where("in_degree = 1 and out_degree = 1 and places = 2").select("src", "pos", "node", "ins")
+    ended = simple.where("ins = 1").select("node", "src", F.col("pos").alias("end")).join(paths.select("src", (F.col("at") + F.col("n")).alias("end"), F.col("path").alias("up"), "n"), ["src", "end"])
+    begun = simple.where("ins = 0").select("node", "src", F.col("pos").alias("at")).join(paths.select("src", "at", "path"), ["src", "at"])
+    links = scratch.keep(ended.select("node", "up", "n").join(begun.select("node", "path"), "node").select("path", "up", "n").where("path != up"), "links")
+    return paths.join(_chains(scratch, links), "path", "left").select("src", "at", "n", F.coalesce("unitig", "path").alias("unitig"), F.coalesce("offset", F.lit(0)).alias("offset"))
+
+
+def _chains(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """For links from a path to the one before it (``path``, ``up``, and the latter's edges ``n``): the first path of the chain and
+    the edges before. Each round doubles the distance; a ring, which has no first path, is left open: its paths stay by themselves."""
+    state = links.select("path", "up", F.col("n").cast("long").alias("offset"))
+    total, reach = state.count(), 1
+    while reach < 2 * total:
+        above = state.select(F.col("path").alias("up"), F.col("up").alias("up2"), F.col("offset").alias("more"))
+        state = scratch.keep(state.join(above, "up", "left").select("path", F.coalesce("up2", "up").alias("up"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset")), "chains")
+        reach *= 2
+        if not state.join(state.select(F.col("path").alias("up")), "up", "left_semi").take(1):
+            break
+    return state.join(state.select(F.col("path").alias("up")), "up", "left_anti").select("path", F.col("up").alias("unitig"), "offset")
+
+
+#: Columns that ``remove_repeats`` makes; an input column of such a name gives way to it.
+MADE = ("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, batch: int = BATCH) -> DataFrame:
     """Removes every word covered by a window of 13 words that also starts in a document with a smaller id.
 
     Words are runs of bytes other than ASCII blanks. Returns one row a row: ``doc_id``, ``n_words``, ``n_removed``,
-    ``kept_sha256`` (of the kept words joined by one space) and, with ``with_text``, ``spans`` (start and length in words) and
-    ``kept_text``: the kept words so joined, or the text as it was if none is removed. Null texts have no words (``kept_text``
-    null); rows without an id neither lose words nor count as a source; rows that share an id do not remove each other's words;
-    other columns are ignored; an empty table gives an empty result. A path found by hashes removes words only where the words at
-    its coordinates are those at its source's coordinates.
+    ``kept_sha256`` (of the kept words joined by one space) and, with ``with_text``, ``spans`` (start and length in words),
+    ``kept_text`` (the kept words so joined, or the text as it was if none is removed) and the other columns, but for those that
+    have the name of one of these. Null texts have no words (``kept_text`` null); rows without an id neither lose words nor count
+    as a source; rows that share an id do not remove each other's words; an empty table gives an empty result. Repeated edges
+    are found by hashes and compacted to paths (``compacted``); what a document has of a path removes words only where the words
+    at its coordinates are those at the path's coordinates in its source.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(rows, scratch, buckets, batch)
+    spans = repeated_spans(rows, scratch, batch)
+    scratch.free_shuffles()
+    asked = scratch.keep(_by_source(spans), "asked")
+    sources = scratch.keep(rows.join(asked, rows["doc_id"] == asked["src"]).select("src", "text", "asked"), "sources")
+    paths = compacted(scratch, sources, source_runs(asked))
+    # What each span has of each path, by the source's coordinates.
+    end, path_end = F.col("s.at") + F.col("s.words") - (WINDOW - 1), F.col("p.at") + F.col("p.n")
+    begin = F.greatest("s.at", "p.at")
+    met = spans.alias("s").join(paths.alias("p"), F.col("s.src") == F.col("p.src")).where((F.col("p.at") < end) & (F.col("s.at") < path_end))
+    parts = scratch.keep(met.select("s.doc", (F.col("s.start") + begin - F.col("s.at")).alias("start"), (F.least(end, path_end) - begin + (WINDOW - 1)).alias("words"), "s.src", begin.alias("at")), "parts")
     scratch.free_shuffles()
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,12 +409,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         out["digest"].append(xxhash.xxh3_128_digest(b" ".join(words[a : a + n])))
             yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary() if c == "digest" else pa.int64()) for c in out], names=list(out))
 
-    asked = spans.select("src", "at", "words").distinct().groupBy("src").agg(F.collect_list(F.struct("at", "words")).alias("asked"))
-    sources = rows.join(asked, rows["doc_id"] == asked["src"]).select("doc_id", "text", "asked")
-    proof = scratch.keep(sources.mapInArrow(digests, "src long, at long, words long, digest binary").distinct(), "sources")
+    proven = sources.select("src", "text").join(_by_source(parts), "src").select("src", "text", "asked")
+    proof = scratch.keep(proven.mapInArrow(frugal(digests), "src long, at long, words long, digest binary").distinct(), "proof")
+    claimed = parts.join(proof, ["src", "at", "words"]).select("doc", "start", "words", "digest").distinct()
+    claims = scratch.keep(claimed.groupBy("doc").agg(F.collect_list(F.struct("start", "words", "digest")).alias("claims")), "claims")
+    scratch.drop(sources)
     scratch.free_shuffles()
-    proven = spans.join(proof, ["src", "at", "words"]).select("doc", "start", "words", "digest").distinct()
-    claims = scratch.keep(proven.groupBy("doc").agg(F.collect_list(F.struct("start", "words", "digest")).alias("claims")), "claims")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,33 +422,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text, claims in zip(b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
                 text = text.as_py()
                 words = (text or b"").split()
-                gone, found = np.zeros(len(words) + 1, dtype=np.int64), []
+                gone = np.zeros(len(words) + 1, dtype=np.int64)
                 for c in claims or ():
                     a, n = c["start"], c["words"]
                     if a + n <= len(words) and xxhash.xxh3_128_digest(b" ".join(words[a : a + n])) == c["digest"]:
                         gone[a] += 1
                         gone[a + n] -= 1
-                        found.append({"start": a, "words": n})
                 covered = np.cumsum(gone)[:-1] > 0
-                kept = b" ".join([words[i] for i in np.flatnonzero(~covered)] if found else words)
+                changed = bool(covered.any())
+                kept = b" ".join([words[i] for i in np.flatnonzero(~covered)] if changed else words)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(int(covered.sum()))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 if with_text:
-                    out["spans"].append(sorted(found, key=lambda s: s["start"]))
-                    out["kept_text"].append(kept.decode() if found else text and text.decode())
+                    edges = np.flatnonzero(np.diff(np.r_[0, covered.astype(np.int8), 0])).reshape(-1, 2)
+                    out["spans"].append([{"start": a, "words": z - a} for a, z in edges.tolist()])
+                    out["kept_text"].append(kept.decode() if changed else text and text.decode())
             arrays = [b.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_sha256"], pa.string())]
             if with_text:
                 arrays += [pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))), pa.array(out["kept_text"], pa.string())]
                 arrays += [b.column(i) for i in range(3, b.num_columns)]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"][: 6 if with_text else 4]
-            yield pa.RecordBatch.from_arrays(arrays, names=names + b.schema.names[3:] * with_text)
+            yield pa.RecordBatch.from_arrays(arrays, names=list(MADE[: 6 if with_text else 4]) + b.schema.names[3:] * with_text)
 
-    extra = [c for c in docs.columns if c not in (id_col, text_col)] if with_text else []
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"x_{i}") for i, c in enumerate(extra)))
+    extra = [c for c in docs.columns if c not in (id_col, text_col, *MADE)] if with_text else []
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"x_{i}") for i, c in enumerate(extra)))
     joined = whole.join(claims, whole["doc_id"] == claims["doc"], "left").select("doc_id", "text", "claims", *(f"x_{i}" for i in range(len(extra))))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
         schema += ", spans array<struct<start: long, words: long>>, kept_text string" + "".join(f", x_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
-    out = joined.mapInArrow(apply, schema)
-    return out.withColumnsRenamed({f"x_{i}": c for i, c in enumerate(extra)})
+    out = joined.mapInArrow(frugal(apply), schema)
+    return out.toDF(*MADE[: 6 if with_text else 4], *extra)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The columns of ``docs``, in their order and whatever their names, with the kept text in place of the text.
+
+    ``length_col`` names a column that holds the text's length, which is set anew where words are gone. See ``remove_repeats``.
+    """
+    names = docs.columns
+    numbered = docs.select(*(F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names)), F.col(id_col).alias("key"), F.col(text_col).alias("body"))
+    out = remove_repeats(numbered, "key", "body", with_text=True)
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text"))
+    columns = {text_col: lambda c: F.col("kept_text"), length_col: lambda c: F.coalesce(length.cast(docs.schema[length_col].dataType), F.col(c))}
+    return out.select(*(columns.get(c, F.col)(f"c_{i}").alias(c) for i, c in enumerate(names)))
