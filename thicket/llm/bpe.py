@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Fixed value: the published pattern by which byte-level BPE cuts texts into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -241,7 +243,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...]
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *(f"{n} {OUTPUTS[n]}" for n in outputs)])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 
 def decode_ids(ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -253,4 +255,4 @@ def decode_ids(ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
             texts = [None if x is None else bpe.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return ids.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, f"doc_id {ids.schema[id_col].dataType.simpleString()}, text string")
+    return ids.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(frugal(run), f"doc_id {ids.schema[id_col].dataType.simpleString()}, text string")

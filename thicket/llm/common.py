@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,16 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all runs, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(starts.max(initial=0)) + int(sizes.max(initial=0))) < 1 << 31 else np.int64
+    out = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of unsigned 64-bit numbers that spreads all bits (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -140,8 +151,10 @@ class Scratch:
 
     def free_shuffles(self) -> None:
         """Lets Spark delete the shuffle files of finished jobs whose frames are no longer referenced."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first lets go of the frames, the second of what they alone held
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def number_within(scratch: Scratch, df: DataFrame, key: str, out: str, name: str = "numbered") -> DataFrame:

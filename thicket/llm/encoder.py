@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bpe import byte_symbols
-from .common import CACHE, WordCache
+from .common import CACHE, WordCache, gather
 
 #: Letters of which none composes with another or changes its number of code points in lower case, then ASCII punctuation but for
 #: apostrophes and underscores: both kinds of tokenizer end a word between the two, and nowhere within either.
@@ -22,16 +22,6 @@ _PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
 _BLANKS = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n]{2}|\A[ \n]|[ \n]\z"
 
 
-def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of all runs, one after the other."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    kind = np.int32 if max(total, int(starts.max(initial=0)) + int(sizes.max(initial=0))) < 1 << 31 else np.int64
-    out = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
-    out += np.arange(total, dtype=kind)
-    return out
-
-
 class CachedEncoder:
     """Encodes whole texts with a tokenizers file, many at a time.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 from .components import components, forest
 
 #: Hash functions, rows of a band, and low bits kept of each minimum. 32 bands of 4 miss a pair at 0.8 once in 2 * 10**7.
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col:
 
     names = ["doc_id", "n_shingles", "cls", "bands", *(f"s{i}" for i in range(WORDS))]
     schema = "doc_id long, n_shingles long, cls binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -154,7 +154,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, tex
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(wanted.select("node", "rep", "cls"), "rep").select("node", "cls", "text")
-    return rows.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(frugal(run), "node long, items array<long>").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
