@@ -163,3 +163,39 @@ def test_sharding(spark):
         groups[t] += len((t or "").encode()) + 8
     assert max(sizes.values()) <= max(max(groups.values()), sum(groups.values()) / 8 + max(groups.values()))
     assert sharding.shard_by_bytes(docs(spark).limit(0)).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=14), st.integers(0, 13), st.integers(100, 400), st.integers(2, 6))
+def test_a_large_group_is_a_shard_in_its_place_and_the_others_stay_even(sizes, place, large, shards):
+    sizes = [*sizes[:place], large, *sizes[place:]]
+    keyed = {i * (2**64 // len(sizes)) + 7: n for i, n in enumerate(sizes)}
+
+    def sums(parts, width):
+        out = {}
+        for key, n in keyed.items():
+            if any(start <= key < start + 2**w for start, w in parts):
+                out[key >> width << width] = out.get(key >> width << width, 0) + n
+        return out
+
+    starts, capacity = sharding.minimax_key_bounds(sums, shards)
+    assert starts == sorted(starts) and len(starts) < shards
+    totals = [0] * shards
+    for key, n in keyed.items():
+        totals[sharding.shard_of(key, starts)] += n
+
+    def partitions(left, n):  # all ways to cut an order into at most n runs
+        yield [left]
+        if n > 1:
+            for i in range(1, len(left)):
+                for rest in partitions(left[i:], n - 1):
+                    yield [left[:i], *rest]
+
+    if len(sizes) <= 9:
+        assert capacity == min(max(map(sum, runs)) for runs in partitions(sizes, shards)) == max(totals)
+        homes = {}
+        for key, n in keyed.items():
+            homes.setdefault(sharding.shard_of(key, starts), []).append(n)
+        mine = max([sum(r) for r in homes.values() if sum(r) < capacity], default=0)
+        best = min(max([sum(r) for r in runs if r != [large]], default=0) for runs in partitions(sizes, shards))
+        assert mine <= best if [large] in homes.values() else True

@@ -27,18 +27,49 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     return lo
 
 
-def greedy_cuts(ends: np.ndarray, capacity: int) -> list[int]:
-    """Fills shards in order, each as far as ``capacity`` allows; returns for each shard the number of groups up to its end."""
+def greedy_cuts(ends: np.ndarray, capacity: int, most: float = float("inf")) -> list[int]:
+    """Fills shards in order, each as far as ``capacity`` allows; returns for each shard the number of groups up to its end.
+
+    A group larger than the capacity is a shard by itself. With more than ``most`` shards the rest is left out.
+    """
     cuts, at, filled = [], 0, 0
-    while at < len(ends):
-        at = int(np.searchsorted(ends, filled + capacity, side="right"))
+    while at < len(ends) and len(cuts) <= most:
+        at = max(at + 1, int(np.searchsorted(ends, filled + capacity, side="right")))
         filled = int(ends[at - 1])
         cuts.append(at)
     return cuts
 
 
+def _least(lo: int, hi: int, enough) -> int:
+    """The smallest number from ``lo`` to ``hi`` that is enough, if ``hi`` is."""
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if enough(mid) else (mid + 1, hi)
+    return lo
+
+
+def _divisible_cuts(ends: np.ndarray, atomic: np.ndarray, capacity: int, most: int) -> list[int]:
+    """Sizes up to the end of each shard if runs that aren't ``atomic`` could be cut anywhere."""
+    cuts, filled, total = [], 0, int(ends[-1])
+    while filled < total and len(cuts) <= most:
+        at = int(np.searchsorted(ends, filled + capacity, side="right"))
+        if at == len(ends):
+            filled = total
+        elif atomic[at]:
+            begin = int(ends[at - 1]) if at else 0
+            filled = begin if begin > filled else int(ends[at])
+        else:
+            filled += capacity
+        cuts.append(filled)
+    return cuts
+
+
 def minimax_key_bounds(sums, shards: int, bits: int = 64) -> tuple[list[int], int]:
-    """First keys of the second and later shards, and the capacity, for groups ordered by an unsigned ``bits``-bit key.
+    """First keys of the second and later shards, and the largest shard, for groups ordered by an unsigned ``bits``-bit key.
+
+    The shards are runs of the order. The largest is as small as can be; where that is one group alone, it is a shard by itself in
+    its place, and the largest of the others is as small as can be: the smallest capacity is searched with which the order fills
+    at most ``shards`` shards, a larger group being a shard by itself.
 
     ``sums(parts, width)`` returns ``{start: size}``: for each ``(start, bits)`` in ``parts``, whose keys share all but the low
     ``bits`` bits, the total size of each run of 2**width keys. The search starts with coarse runs and refines only those in which
@@ -51,19 +82,24 @@ def minimax_key_bounds(sums, shards: int, bits: int = 64) -> tuple[list[int], in
         sizes = [n for _, _, n in parts]
         if not sizes:
             return [], 0
-        ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
-        best = smallest_capacity(sizes, shards)
-        low = max(-(-int(ends[-1]) // shards), max((n for _, w, n in parts if w == 0), default=0))
-        open_parts, reach = set(), 0
-        for i in range(1, shards):
-            # The i-th cut lies between what coarse runs surely reach with the lowest capacity and i times the best one known.
-            at = int(np.searchsorted(ends, reach + low, side="right"))
-            reach = max(reach, int(ends[at - 1]) if at else 0)
-            last = min(len(ends) - 1, int(np.searchsorted(ends, min(i * best, int(ends[-1])), side="left")))
-            open_parts.update(j for j in range(min(at, last), last + 1) if parts[j][1])
+        ends, atomic = np.cumsum(np.asarray(sizes, dtype=np.int64)), np.array([w == 0 for _, w, _ in parts])
+        total, coarse = int(ends[-1]), max((n for _, w, n in parts if w), default=1)
+        best = _least(max(1, coarse), max(1, total), lambda c: len(greedy_cuts(ends, c, shards)) <= shards)
+        low = _least(1, best, lambda c: len(_divisible_cuts(ends, atomic, c, shards)) <= shards)
+        if coarse > low:  # may hold a group that is a shard by itself
+            open_parts = {j for j, (_, w, n) in enumerate(parts) if w and n > low}
+        else:
+            open_parts, early = set(), 0
+            for late in _divisible_cuts(ends, atomic, best, shards)[: shards - 1]:
+                # A cut lies between what is surely reached with the lowest capacity and what could be with the best one known.
+                at = int(np.searchsorted(ends, early + low, side="right"))
+                begin = int(ends[at - 1]) if at else 0
+                early = begin if begin > early else early + (sizes[at] if at < len(ends) else 0)
+                last = int(np.searchsorted(ends, late, side="left"))
+                open_parts.update(j for j in range(min(at, last), min(last, len(ends) - 1) + 1) if parts[j][1])
         if best == low or not open_parts:
             cuts = greedy_cuts(ends, best)[:-1]
-            return [parts[j][0] for j in cuts], best
+            return [parts[j][0] for j in cuts], max(int(x) for x in np.diff(np.append(0, ends[np.append(cuts, len(ends)).astype(int) - 1])))
         fine = []
         for w in {parts[j][1] for j in open_parts}:
             asked = [(parts[j][0], w) for j in sorted(open_parts) if parts[j][1] == w]
@@ -75,10 +111,12 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     """Deals rows into shards 0 .. ``n_shards`` - 1 so that the largest shard is as small as can be.
 
     Rows of equal text form a group that is never parted; groups are ordered by a hash of the text, and the shards are runs of
-    that order. A group larger than an even share has the last shards to itself, else it would leave others empty. Law: ``bytes``. Returns one row a row: id, ``size`` (UTF-8 bytes of the text plus 8; a null text has none),
-    ``text_crc32`` (of the UTF-8 bytes, null text as empty), ``law``, ``shard``, ``slot`` (0, 1, ... within the shard),
+    that order, all of them: a group larger than an even share is a shard by itself in its place, and the others are as even as can
+    be (``minimax_key_bounds``). Law: ``bytes``. Returns one row a row: id, ``size`` (UTF-8 bytes of the text plus 8; a null text has
+    none), ``text_crc32`` (of the UTF-8 bytes, null text as empty), ``law``, ``shard``, ``slot`` (0, 1, ... within the shard),
     ``grown_shard`` (null). Null texts form one group; null or repeated ids are rows like any other; other columns are ignored;
-    without rows there are none in the result. Texts are read once; only 40-byte rows are written and none is shuffled by group.
+    without rows there are none in the result. Texts are read once; only 40-byte rows are written, and nothing is grouped by key
+    but for sums of runs of keys.
     """
     scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -97,19 +135,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
             asked = rows.where(F.shiftright("key", parts[0][1]).isin(high))
         return {(r.run << width) + (1 << 63): r.n for r in asked.groupBy(run).agg(F.sum("size").alias("n")).collect()}
 
-    # A group larger than an even share gets a shard of its own; there are fewer of these than shards.
-    total, big = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], {}
-    groups = rows.groupBy("key").agg(F.sum("size").alias("n"))
-    while found := [r for r in groups.where((F.col("n") * (n_shards - len(big)) > total) & ~F.col("key").isin(list(big))).collect()]:
-        big |= {r.key: r.n for r in found}
-        total -= sum(r.n for r in found)
-    if big:
-        everything, rows = rows, rows.where(~F.col("key").isin(list(big)))
-    starts, _ = minimax_key_bounds(sums, n_shards - len(big))
+    starts, _ = minimax_key_bounds(sums, n_shards)
     shard = sum([F.when(F.col("key") >= F.lit(s - (1 << 63)), 1).otherwise(0) for s in starts], F.lit(0))
-    for i, k in enumerate(sorted(big)):
-        shard = F.when(F.col("key") == F.lit(k), n_shards - 1 - i).otherwise(shard)
-    rows = everything if big else rows
     shard = shard.cast("int")
     out = number_within(scratch, rows.select("doc_id", "size", "text_crc32", shard.alias("shard")), "shard", "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
