@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,6 +68,12 @@ def _trim() -> None:
         pass
 
 
+def word_hash(word: str) -> int:
+    """A word's 64-bit hash, as a signed number."""
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class WordCache:
     """Values of words, remembered in two generations of bounded bytes: when the younger is full it replaces the older."""
 

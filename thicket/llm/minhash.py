@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, frugal
+from .common import Scratch, WordCache, distinct_words, frugal, gather, mix, slices, word_hash
 from .components import components, forest
 
 #: Hash functions, rows of a band, and low bits kept of each minimum. 32 bands of 4 miss a pair at 0.8 once in 2 * 10**7.
@@ -18,47 +20,36 @@ HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 #: Pairs are confirmed on full sets if the estimate reaches the threshold less six standard errors of the estimate.
 _WIDTH = 6
-#: Members of a key, and classes of a family, up to which pairs are listed; members of a chunk and classes of a tile beyond.
-FEW, FAMILY, CHUNK, TILE = 16, 64, 2048, 256
-_CACHE = 300_000
+#: Members of a key up to which pairs are listed; beyond, members of a group from which on it has chunks of its own, members of a
+#: chunk of signatures and of a tile of full sets.
+FEW, FAMILY, CHUNK, TILE = 16, 512, 2048, 256
 _CHUNK = 4096
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of unsigned 64-bit numbers that spreads all bits (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingles:
     """Sets of hashed word shingles; words are runs of bytes other than ASCII blanks, with A-Z lower-cased."""
 
     def __init__(self, size: int = 2):
         self.size = size
-        self.known: dict[bytes, int] = {}
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        """The sorted distinct 64-bit hashes of a text's shingles; a shorter text has its whole sequence as one."""
-        words = text.lower().split() if text else []
-        if not words:
+        self.known = WordCache(word_hash)
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """For each text the sorted distinct 64-bit hashes of its shingles; a shorter text has its whole sequence as one."""
+        words, at, counts = distinct_words(pc.ascii_lower(pc.fill_null(texts, "")), pc.ascii_split_whitespace)
+        h = np.array(self.known.of(words), dtype=np.int64)[at].view(np.uint64)
+        whole, edges = self._combined(h, self.size), np.append(0, np.cumsum(counts))
+        for a, n in zip(edges.tolist(), counts.tolist()):
+            yield np.unique(whole[a : a + n - self.size + 1] if n >= self.size else self._combined(h[a : a + n], n))
+
+    @staticmethod
+    def _combined(h: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of n words."""
+        if not 0 < n <= len(h):
             return np.zeros(0, dtype=np.uint64)
-        try:
-            got = list(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > _CACHE:
-                self.known.clear()
-            for w in words:
-                if w not in self.known:
-                    h = xxhash.xxh3_64_intdigest(w)
-                    self.known[w] = h - (1 << 64) if h >> 63 else h
-            got = list(map(self.known.__getitem__, words))
-        h = np.array(got, dtype=np.int64).view(np.uint64)
-        n = min(self.size, len(h))
         x = np.full(len(h) - n + 1, n, dtype=np.uint64)
         for i in range(n):
-            x = _mix(x + h[i : len(h) - n + 1 + i])
-        return np.unique(x)
+            x = mix(x + h[i : len(h) - n + 1 + i])
+        return x
 
 
 _RNG = np.random.default_rng(20240229)
@@ -80,7 +71,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 def band_keys(low: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band, the band's number included."""
     rows = low.reshape(BANDS, ROWS).T.astype(np.uint64)
-    return _mix((rows * _BAND).sum(axis=0, dtype=np.uint64) ^ _SALT).view(np.int64)
+    return mix((rows * _BAND).sum(axis=0, dtype=np.uint64) ^ _SALT).view(np.int64)
 
 
 def packed(low: np.ndarray) -> np.ndarray:
@@ -116,10 +107,8 @@ def signatures(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
             n, cls, bands, sig = [], [], [], []
-            for t in texts:
-                x = shingles.of(t.as_py())
+            for x in (x for first, rows in slices(b.column(1)) for x in shingles.each(b.column(1).slice(first, rows))):
                 n.append(len(x))
                 if len(x):
                     low = minima(x)
@@ -145,8 +134,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, tex
         shingles = Shingles(size)
         for b in batches:
             nodes, sets = [], []
-            for node, cls, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
-                x = shingles.of(text.as_py())
+            found = (x for first, rows in slices(b.column(2)) for x in shingles.each(b.column(2).slice(first, rows)))
+            for node, cls, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), found):
                 if xxhash.xxh3_128_digest(x.tobytes()) == cls:  # else another row with this id
                     nodes.append(node)
                     sets.append(x.view(np.int64))
@@ -164,8 +153,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
     Rows with equal sets are one class; classes that share a band key are candidates; candidates whose b-bit estimate is not
     clearly too low are confirmed on full sets. Within a band key the classes are first compared with one head each, which joins
     most. Afterwards all pairs that share a key but are not yet in one group are compared, so nothing is capped: those of small
-    keys and families one by one, all others by chunks of signatures and then by tiles of full sets, which give forests of their
-    links and never a list of pairs. Rows without words are linked with nothing; rows that share an id are one document; rows without
+    keys one by one, all others by chunks of signatures and then, as far as the estimate leaves them possible, by tiles of full
+    sets, which give forests of their links and never a list of pairs. Rows without words are linked with nothing; rows that share an id are one document; rows without
     an id have no component and are kept; other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -197,21 +186,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
         scratch.free_shuffles()
         return out
 
-    def in_tiles(large: DataFrame) -> DataFrame:
-        """Links across groups within large families: full sets meet tile by tile, and a forest of the links comes back."""
-        of_group = large.groupBy("family", "group").agg(F.count("*").alias("n"))
-        spread = F.when(F.col("n") > TILE, F.concat_ws("-", F.lit("g"), "group", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TILE)))).otherwise(F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("group"), F.ceil(F.col("rest") / TILE))))
-        pooled = of_group.where(F.col("n") <= TILE).groupBy("family").agg(F.sum("n").alias("rest"))
-        placed = scratch.keep(large.join(of_group, ["family", "group"]).join(pooled, "family", "left").select("family", "group", "node", spread.alias("tile")), "placed")
-        tiles = placed.groupBy("family", "tile").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
-        other = tiles.select("family", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-        pairs = tiles.join(other, "family").where("tile <= tile2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
-        sides = pairs.select("family", F.col("tile").alias("t1"), F.col("tile2").alias("t2"), F.explode(F.array_distinct(F.array("tile", "tile2"))).alias("tile"))
-        wanted = placed.select("node").join(classes.select("node", "rep", "cls"), "node")
-        sets = scratch.keep(shingle_sets(docs, wanted, size, id_col, text_col), "sets-tiles")
-        rows = sides.join(placed, ["family", "tile"]).join(sets, "node").select("family", "t1", "t2", "tile", "group", "node", "items")
-        return scratch.keep(rows.groupBy("family", "t1", "t2").applyInArrow(lambda t: _tile_links(t, threshold), "a long, b long"), "tile-links")
-
     # Band keys of one class alone join nothing. The head of a key is its member with most company over all of its keys: in a
     # group made from one text that is the text itself, which its copies resemble more than each other.
     counts = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -240,16 +214,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
     few = x.join(y, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("group_x") != F.col("group_y")) & close)
     few = few.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
     few = scratch.keep(few, "few")
-    many = scratch.keep(_survivors(members.where(F.col("n") > FEW), threshold, margin), "many")
-    # All pairs still open lie within a family. Small families are confirmed pair by pair, large ones tile by tile.
-    families = scratch.keep(components(scratch, few.unionAll(many)).withColumnRenamed("component", "family"), "families")
-    listed = few.join(families.select(F.col("node").alias("a"), "family"), "a")
-    by_forest = many.join(families.select(F.col("node").alias("a"), "family"), "a").select("family").distinct().withColumn("forest", F.lit(True))
-    kinds = families.groupBy("family").agg(F.count("*").alias("size")).join(by_forest, "family", "left")
-    kinds = scratch.keep(kinds.select("family", (F.col("forest").isNotNull() | (F.col("size") > FAMILY)).alias("large")), "family-kinds")
-    rest = listed.join(kinds.where("not large"), "family")
-    large = families.join(kinds.where("large"), "family").join(first, "node", "left").select("family", "node", F.coalesce("component", "node").alias("group"))
-    found = confirmed(scratch.keep(rest.select("a", "b"), "rest"), "rest").unionAll(in_tiles(scratch.keep(large, "large")))
+    found = confirmed(few, "rest").unionAll(_by_tiles(scratch, members.where(F.col("n") > FEW), classes, lambda wanted: shingle_sets(docs, wanted, size, id_col, text_col), threshold, margin))
     links = scratch.keep(links.unionAll(found), "all-links")
 
     final = components(scratch, links)
@@ -261,62 +226,120 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _survivors(members: DataFrame, threshold: float, margin: float) -> DataFrame:
-    """For keys with many members: a forest of the pairs across groups that size and estimate leave possible.
+def _by_tiles(scratch: Scratch, members: DataFrame, classes: DataFrame, sets_of, threshold: float, margin: float) -> DataFrame:
+    """Confirmed links across groups within keys that have many members, as forests: ``a``, ``b``.
 
-    Members are dealt to chunks of about ``CHUNK`` and compared chunk by chunk, so that a key may have any number of them.
+    The members of a key are dealt to chunks of about ``CHUNK``, those of a large group to chunks of its own. Chunks meet in pairs,
+    but for two chunks of the same group; what comes of a pair is no pairs of members, but the members that some pair needs which
+    size and estimate leave possible, by tiles of at most ``TILE`` a side. Their full sets are fetched, and the pairs that are still
+    possible are confirmed tile by tile. A pair that shares several keys is looked at in the first of them.
     """
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).alias("i")
-    dealt = members.select("key", "group", "node", F.col("i").alias("info"), F.ceil(F.col("n") / CHUNK).alias("chunks"), chunk)
-    dealt = dealt.select("key", "group", "node", "info", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("j"))
-    rows = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("own"), "group", "node", "info.*")
-
-    def compare(t: pa.Table) -> pa.Table:
-        node, group, n, own = (t.column(c).to_numpy() for c in ("node", "group", "n_shingles", "own"))
-        sig = np.stack([t.column(f"s{i}").to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
-        low = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
-        chance, ends = 2.0**-BITS, []
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        for top in range(0, len(left), 256):
-            at = left[top : top + 256]
-            x = sig[at][:, None, :] ^ sig[right][None, :, :]
-            folded = x
-            for k in range(1, BITS):
-                folded = folded | (x >> np.uint64(k))
-            unequal = np.bitwise_count(folded & low).sum(axis=2, dtype=np.int64)
-            e = ((1 - unequal / HASHES) - chance) / (1 - chance)
-            a, b = n[at][:, None], n[right][None, :]
-            i, j = np.nonzero((e >= threshold - margin) & (group[at][:, None] != group[right][None, :]) & (np.minimum(a, b) >= threshold * np.maximum(a, b)))
-            if len(i):
-                u, v = forest(node[at[i]], node[right[j]])
-                ends.append((u[u != v], v[u != v]))
-        u, v = forest(*(np.concatenate(z) for z in zip(*ends))) if ends else (node[:0], node[:0])
-        return pa.table({"a": np.minimum(u, v)[u != v], "b": np.maximum(u, v)[u != v]})
-
-    return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
-
-
-def _tile_links(t: pa.Table, threshold: float) -> pa.Table:
-    """Confirmed links across groups between the two tiles of a table (or within the one), as a forest."""
-    node, group, tile = t.column("node").to_numpy(), t.column("group").to_numpy(), np.array(t.column("tile").to_pylist())
-    column = t.column("items").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    items, offset = column.values.to_numpy(), column.offsets.to_numpy()
-    size = np.diff(offset)
+    of_group = members.groupBy("key", "group").agg(F.count("*").alias("of_group"))
+    pooled = of_group.where(F.col("of_group") <= FAMILY).groupBy("key").agg(F.sum("of_group").alias("rest"))
+    own = F.xxhash64("group", F.pmod(F.xxhash64("node"), F.ceil(F.col("of_group") / CHUNK)), F.lit("own"))
+    chunk = F.when(F.col("of_group") > FAMILY, own).otherwise(F.xxhash64(F.pmod(F.xxhash64("group"), F.ceil(F.col("rest") / CHUNK)), F.lit("pooled")))
+    sig = [f"s{i}" for i in range(WORDS)]
+    dealt = members.join(of_group, ["key", "group"]).join(pooled, "key", "left").select("key", chunk.alias("chunk"), "group", "node", "i.*")
+    dealt = dealt.join(classes.select("node", "bands"), "node")
+
+    def pack(t: pa.Table) -> pa.Table:
+        group = t.column("group").to_numpy()
+        columns = {"nodes": t.column("node").to_numpy(), "groups": group, "sizes": t.column("n_shingles").to_numpy(), "sigs": np.stack([t.column(c).to_numpy() for c in sig], axis=1), "bands": np.array(t.column("bands").to_pylist(), dtype=np.int64)}
+        return pa.table({"key": t.column("key")[:1], "chunk": t.column("chunk")[:1], "lo": [group.min()], "hi": [group.max()], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()}})
+
+    packs = scratch.keep(dealt.groupBy("key", "chunk").applyInArrow(pack, "key long, chunk long, lo long, hi long, nodes binary, groups binary, sizes binary, sigs binary, bands binary"), "chunks")
+    one = packs.select("key", F.col("chunk").alias("c1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    two = packs.select("key", F.col("chunk").alias("c2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = one.join(two, "key").where("c1 <= c2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").select("key", "c1", "c2")
+    sides = pairs.select("*", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("chunk"))
+
+    def survivors(t: pa.Table) -> pa.Table:
+        by = {r["chunk"]: r for r in t.to_pylist()}
+        key, c1, c2 = (t.column(c)[0].as_py() for c in ("key", "c1", "c2"))
+        left, right = (_Members(*(np.frombuffer(by[c][k], np.int64) for k in ("nodes", "groups", "sizes", "sigs", "bands"))) for c in (c1, c2))
+        out: list[tuple[int, int, int, np.ndarray]] = []
+        for i, a in enumerate(range(0, len(left.node), TILE)):
+            for j, b in enumerate(range(0, len(right.node), TILE)):
+                if c1 == c2 and j < i:
+                    continue
+                x, y = left.part(slice(a, a + TILE)), right.part(slice(b, b + TILE))
+                u, v = x.possible(y, key, threshold, margin)
+                out += [(i, j, side, m.node[np.unique(w)]) for side, m, w in ((0, x, u), (1, y, v)) if len(w)]
+        rows = [len(n) for *_, n in out]
+        tile = {name: np.repeat(np.array([o[k] for o in out], dtype=np.int32), rows) for k, name in enumerate(("t1", "t2", "side"))}
+        total = sum(rows)
+        return pa.table({"key": np.full(total, key), "c1": np.full(total, c1), "c2": np.full(total, c2), **tile, "node": np.concatenate([np.zeros(0, np.int64), *(n for *_, n in out)])})
+
+    tile = ["key", "c1", "c2", "t1", "t2"]
+    asked = sides.join(packs, ["key", "chunk"]).groupBy("key", "c1", "c2").applyInArrow(survivors, "key long, c1 long, c2 long, t1 int, t2 int, side int, node long")
+    asked = scratch.keep(asked, "possible")
+    wanted = asked.select("node").distinct().join(classes.select("node", "rep", "cls"), "node")
+    sets = scratch.keep(sets_of(wanted), "sets-tiles")
+    groups = members.select("node", "group", "i.*").dropDuplicates(["node"])
+    rows = asked.join(groups, "node").join(classes.select("node", "bands"), "node").join(sets, "node")
+
+    def confirm(t: pa.Table) -> pa.Table:
+        both = _Members(*(t.column(c).to_numpy() for c in ("node", "group", "n_shingles")), np.stack([t.column(c).to_numpy() for c in sig], axis=1), np.array(t.column("bands").to_pylist(), dtype=np.int64))
+        side = t.column("side").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        u, v = both.part(left).possible(both.part(right), t.column("key")[0].as_py(), threshold, margin)
+        return _confirmed_links(both.node, t.column("items").combine_chunks(), left[u], right[v], threshold)
+
+    return scratch.keep(rows.groupBy(*tile).applyInArrow(confirm, "a long, b long"), "tile-links")
+
+
+@dataclass
+class _Members:
+    """Members of a key: node, group, size of the set, packed signature and band keys, a row each."""
+
+    node: np.ndarray
+    group: np.ndarray
+    size: np.ndarray
+    sig: np.ndarray
+    bands: np.ndarray
+
+    def __post_init__(self):
+        self.sig, self.bands = self.sig.reshape(-1, WORDS).view(np.uint64), self.bands.reshape(-1, BANDS)
+
+    def part(self, at) -> _Members:
+        return _Members(self.node[at], self.group[at], self.size[at], self.sig[at].view(np.int64), self.bands[at])
+
+    def possible(self, other: _Members, key: int, threshold: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (by row) across groups that size and estimate leave possible and whose first common key this is."""
+        low, chance = np.uint64(sum(1 << i for i in range(0, 64, BITS))), 2.0**-BITS
+        x = self.sig[:, None, :] ^ other.sig[None, :, :]
+        folded = x
+        for k in range(1, BITS):
+            folded = folded | (x >> np.uint64(k))
+        unequal = np.bitwise_count(folded & low).sum(axis=2, dtype=np.int64)
+        e = ((1 - unequal / HASHES) - chance) / (1 - chance)
+        a, b = self.size[:, None], other.size[None, :]
+        i, j = np.nonzero((e >= threshold - margin) & (self.group[:, None] != other.group[None, :]) & (np.minimum(a, b) >= threshold * np.maximum(a, b)))
+        first = np.empty(len(i), dtype=bool)
+        for k in range(0, len(i), 16_384):
+            at = slice(k, k + 16_384)
+            shared = self.bands[i[at]] == other.bands[j[at]]
+            first[at] = self.bands[i[at], shared.argmax(axis=1)] == key
+        return i[first], j[first]
+
+
+def _confirmed_links(node: np.ndarray, sets, x: np.ndarray, y: np.ndarray, threshold: float) -> pa.Table:
+    """Of pairs of rows those whose full sets are similar enough, as a forest."""
+    sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+    items, offset, percent, ends = sets.values.to_numpy(), sets.offsets.to_numpy(), round(threshold * 100), []
     known, items = np.unique(items[offset[0] : offset[-1]], return_inverse=True)
     offset = offset - offset[0]
-    left = np.flatnonzero(tile == t.column("t1")[0].as_py())
-    right = np.flatnonzero(tile == t.column("t2")[0].as_py())
-    data = np.concatenate([items[offset[k] : offset[k + 1]] for k in right])
-    starts = np.cumsum(size[right]) - size[right]
-    has, percent, ends = np.zeros(len(known), dtype=bool), round(threshold * 100), []
-    for k in left:
-        own = items[offset[k] : offset[k + 1]]
-        has[own] = True
-        common = np.add.reduceat(has[data].astype(np.int64), starts)
-        has[own] = False
-        linked = right[(common * 100 >= percent * (size[k] + size[right] - common)) & (group[right] != group[k])]
+    size = np.diff(offset)
+    has = np.zeros(len(known), dtype=bool)
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    for at in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else []:
+        k, others = x[at[0]], y[at]
+        has[items[offset[k] : offset[k + 1]]] = True
+        n = size[others]
+        common = np.add.reduceat(has[items[gather(offset[others].astype(np.int64), n)]].astype(np.int64), np.cumsum(n) - n)
+        has[items[offset[k] : offset[k + 1]]] = False
+        linked = others[common * 100 >= percent * (size[k] + n - common)]
         if len(linked):
             ends.append((np.full(len(linked), node[k]), node[linked]))
     u, v = forest(*(np.concatenate(z) for z in zip(*ends))) if ends else (node[:0], node[:0])

@@ -89,6 +89,49 @@ SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, l.component_id, v.vec_id =
 FROM v JOIN least l ON l.a = v.vec_id LEFT JOIN degree d ON d.a = v.vec_id
 """
 
+#: Sets of distinct 2-word shingles compared through the shingles that they share; a component's smallest id by reachability.
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 2 THEN words ELSE words[i:i + 1] END AS s
+  FROM w, unnest(CASE WHEN len(words) = 0 THEN [] ELSE range(1, greatest(len(words), 2)) END) AS t(i)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN least l ON l.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+#: The first document of each window of 13 words, and the words that later documents' windows cover.
+_OP7 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(words) - 11)) AS t(i)
+), firsts AS (
+  SELECT k, min(doc_id) AS src FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS pos FROM windows JOIN firsts USING (k), unnest(range(13)) AS t(j) WHERE src < doc_id
+), placed AS (
+  SELECT doc_id, pos, words[pos] AS word FROM w, unnest(range(1, len(words) + 1)) AS t(pos)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM placed ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
 _OP9 = """
 WITH c AS (
   SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS bits FROM embeddings
@@ -103,4 +146,4 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_int8_tile_dedup": _OP1, "op9_multi_index_hamming": _OP9}
+    return {"op1_int8_tile_dedup": _OP1, "op2_b_bit_minhash": _OP2, "op7_de_bruijn_substrings": _OP7, "op9_multi_index_hamming": _OP9}

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordCache, distinct_words, frugal, gather, mix, slices
+from .common import Scratch, WordCache, distinct_words, frugal, gather, mix, slices, word_hash
 
 #: Words of a window (an edge: two nodes of one word less), and of the shorter runs whose least hash picks a window's bucket.
 WINDOW, SEED_WORDS = 13, 5
@@ -29,11 +29,6 @@ def _rolling(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def word_hash(word: str) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
 class WordHashes:
     """Hashes of the words of texts; words are runs of bytes other than ASCII blanks."""
 
