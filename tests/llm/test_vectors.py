@@ -93,3 +93,10 @@ def test_bounds_are_each_vectors_own():
     alone, together = vector_dedup.quantised(vector_dedup.unit(x[1:])), vector_dedup.quantised(vector_dedup.unit(x))
     assert (alone.step == together.step[1:]).all() and (alone.error == together.error[1:]).all() and (alone.q == together.q[1:]).all()
     assert (np.abs(vector_dedup.unit(x) - together.q * together.step[:, None]) <= together.error[:, None]).all()
+
+
+def test_codes_of_infinite_components_and_repeated_ids(spark):
+    rows = [(1, [math.inf, -1.0]), (2, [5.0, -math.inf]), (2, [-1.0, -1.0]), (2, [-1.0, -1.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0])]
+    codes = hamming.sign_codes(table(spark, rows))
+    got = [tuple(r) for r in hamming.top_k(codes, codes.where("vec_id = 20"), 9).orderBy("rank").collect()]
+    assert got == [(20, 1, 1, 1), (20, 2, 2, 1), (20, 3, 2, 2), (20, 4, 2, 2)]

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 SEGMENT = 16
-BLOCK, QUERY_BLOCK = 65_536, 512
+BLOCK, QUERY_BLOCK = 65_536, 16_384
 _FLIPS = np.arange(1 << SEGMENT, dtype=np.uint32)
 _WEIGHT = np.bitwise_count(_FLIPS)
 #: All ways to flip r bits of a segment, for each r.
@@ -71,7 +71,8 @@ class MultiIndex:
 def sign_codes(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id`` and ``code``: one bit a component, set if it is above zero, filled up with zero bits to whole segments.
 
-    Rows without an id, and null or empty vectors or such with null or NaN components, have no code and are left out.
+    Rows without an id, and null or empty vectors or such with null or NaN components, have no code and are left out; an infinite
+    component counts by its sign. A repeated id has a code for each of its rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,35 +93,33 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK,
 
     Both frames have ``vec_id`` and ``code``. Ties go to the smaller id; a query's own id is not among its results; codes of
     another length are not compared; fewer codes than ``k`` give fewer rows; a repeated query id is one query for each of its
-    distinct codes. Codes and queries are packed into blocks; each pair of blocks is searched by a multi-index of its own and
-    gives at most ``k`` rows a query, whose merge is exact.
+    distinct codes. Codes are dealt to blocks and queries to runs; a task has one block, builds its index once and asks it one run
+    of queries. Runs are shorter than ``query_block`` where there are fewer blocks than tasks. Each block gives at most ``k`` rows a
+    query, of which the ``k`` best are kept before and after they meet, so the merge is exact.
     """
-    scratch = Scratch(codes.sparkSession, "hamming")
+    spark = codes.sparkSession
+    scratch = Scratch(spark, "hamming")
     sized = lambda df: df.withColumn("bytes", F.length("code"))
     codes, queries = scratch.keep(sized(codes), "codes"), scratch.keep(sized(queries.distinct()), "queries")
-    n_blocks, n_query_blocks = (max(1, -(-df.count() // size)) for df, size in ((codes, block), (queries, query_block)))
-
-    def pack(t: pa.Table) -> pa.Table:
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int64()), "bytes": pa.array([t.column("bytes")[0].as_py()], pa.int32()), "ids": pa.array([t.column("vec_id").to_numpy().tobytes()], pa.binary()), "codes": pa.array([b"".join(t.column("code").to_pylist())], pa.binary())})
-
-    def packed(df: DataFrame, parts: int) -> DataFrame:
-        return df.withColumn("part", F.pmod(F.xxhash64("vec_id", "code"), F.lit(parts))).groupBy("part", "bytes").applyInArrow(pack, "part long, bytes int, ids binary, codes binary")
-
-    data = packed(codes, n_blocks).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).withColumn("q", F.col("q").cast("long"))
-    asked = packed(queries, n_query_blocks).select(F.col("part").alias("q"), "bytes", F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                arrays = [np.frombuffer(row[c], np.int64 if "ids" in c else np.uint16) for c in ("ids", "codes", "q_ids", "q_codes")]
-                m = row["bytes"] // 2
-                index = MultiIndex(arrays[1].reshape(-1, m), arrays[0])
-                out: list[tuple] = []
-                for q, code in zip(arrays[2].tolist(), arrays[3].reshape(-1, m)):
-                    out += [(q, code.tobytes(), d, i) for d, i in index.search(code, k, q)[0]]
-                cols = list(zip(*out)) if out else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["query_id", "q_code", "distance", "vec_id"])
-
-    part = data.join(asked, ["q", "bytes"]).mapInArrow(search, "query_id long, q_code binary, distance int, vec_id long")
-    best = part.groupBy("query_id", "q_code").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", "hit.distance")
+    n_blocks, n_runs = (max(1, -(-df.count() // size)) for df, size in ((codes, block), (queries, query_block)))
+    n_runs = max(n_runs, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks))
+
+    def dealt(df: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
+        return df.select("bytes", "vec_id", "code", F.pmod(F.xxhash64("vec_id", "code"), F.lit(parts)).alias(own), each.alias(other))
+
+    def search(data: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if data.num_rows and asked.num_rows:
+            unpack = lambda t: np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint16).reshape(t.num_rows, -1)
+            index = MultiIndex(unpack(data), data.column("vec_id").to_numpy())
+            for q, code in zip(asked.column("vec_id").to_pylist(), unpack(asked)):
+                out += [(q, code.tobytes(), d, i) for d, i in index.search(code, k, q)[0]]
+        cols = list(zip(*out)) if out else [[], [], [], []]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "q_code": pa.array(cols[1], pa.binary()), "distance": pa.array(cols[2], pa.int32()), "vec_id": pa.array(cols[3], pa.int64())})
+
+    keys = ["bytes", "part", "run"]
+    data, asked = dealt(codes, "part", n_blocks, "run", n_runs), dealt(queries, "run", n_runs, "part", n_blocks)
+    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, q_code binary, distance int, vec_id long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q_code").orderBy("distance", "vec_id")).alias("rank")
+    return found.select("query_id", rank, "vec_id", "distance").where(F.col("rank") <= k)
