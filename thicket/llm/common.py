@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -120,11 +121,14 @@ _LOCAL_SHARED: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (tests on one machine) a fresh local folder is used, one per application.
+    Only where the session does not name one and runs in one process (tests) a fresh local folder is used, one per application; on a
+    cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SHARED:
         _LOCAL_SHARED[app] = "file://" + tempfile.mkdtemp(prefix="thicket-")
@@ -132,12 +136,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no more than a reread."""
+    """Tables written to the shared folder, so that a lost executor costs no more than a reread.
+
+    The folder is deleted when the application ends; ``only`` deletes what a result does not read once it is known.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/thicket-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._kept: list[str] = []
+        fs, path = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -149,12 +164,24 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._thicket_path = path
+        self._kept.append(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that ``keep`` wrote and that no returned frame reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._thicket_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df._thicket_path)
+
+    def only(self, *frames: DataFrame) -> None:
+        """Deletes all tables that ``keep`` wrote but those of the frames named."""
+        read = {f._thicket_path for f in frames}
+        for path in [p for p in self._kept if p not in read]:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        fs, at = self._at(path)
+        fs.delete(at, True)
+        if path in self._kept:
+            self._kept.remove(path)
 
     def free_shuffles(self) -> None:
         """Lets Spark delete the shuffle files of finished jobs whose frames are no longer referenced."""
@@ -167,8 +194,8 @@ class Scratch:
 def number_within(scratch: Scratch, df: DataFrame, key: str, out: str, name: str = "numbered") -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... without gaps within each value of the integer column ``key``.
 
-    No row moves: each partition counts its own rows of a key, and the partitions' counts are summed up in a table of one row for
-    each key and partition. A key that holds most rows is therefore no heavier than any other.
+    Each partition numbers its own rows of a key, and the partitions' counts are summed up in a table of one row for each key and
+    partition, with which the rows are joined. A key that holds most rows is therefore no heavier than any other.
     """
     schema = df.schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

@@ -84,4 +84,4 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
             break
         before = state
     roots = links.groupBy("a").agg(F.min("b").alias("component"))
-    return nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", F.coalesce("component", "node").alias("component"))
+    return scratch.keep(nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", F.coalesce("component", "node").alias("component")), "components")

@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
     same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
     links = links.unionAll(same)
 
-    first = scratch.keep(components(scratch, links), "first-groups")
+    first = components(scratch, links)
     grouped = multi.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
     mixed = grouped.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("n")).where("g1 != g2").select("key", "n")
     members = scratch.keep(grouped.join(mixed, "key").join(info, "node"), "mixed")
@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
     links = scratch.keep(links.unionAll(found), "all-links")
 
     final = components(scratch, links)
+    scratch.only(rows, classes, final)
     group = classes.join(final, "node", "left").select("cls", "rep", F.coalesce("component", "node").alias("group"))
     smallest = group.groupBy("group").agg(F.min("rep").alias("component_id"))
     of_class = group.join(smallest, "group").select("cls", "component_id")

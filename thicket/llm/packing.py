@@ -118,8 +118,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     Returns one row a piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset`` (and ``ids``).
     Every row gives at least one piece, as the end id counts; repeated or null ids are rows like any other; other columns are
     ignored; without rows there are none in the result. The plan is made from the number of pieces of each length, at most
-    ``capacity`` numbers whatever the size of the corpus; pieces are numbered within their length where they are, and nothing is
-    shuffled but those counts.
+    ``capacity`` numbers whatever the size of the corpus; pieces are numbered within their length where they are, and then joined
+    with the counts of their partition. Texts and ids are not shuffled unless ``with_ids`` asks for them.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     numbered = number_within(scratch, pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "length", "rank", "pieces")

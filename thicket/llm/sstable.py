@@ -27,6 +27,8 @@ MAGIC = b"THKSST01"
 _FOOTER = struct.Struct("<QQQQQQBB6xI8s")
 BLOCK = 64 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Characters of a text that may part rows of one id.
+PREFIX = 64
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -174,7 +176,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """Encodes whole texts, appends ``end_id`` and writes shards in ascending id order below ``folder``, a shared folder.
 
     Returns the manifest, one row a shard: ``shard`` (in key order), ``path``, ``docs``, ``ids``. Null texts count as empty; null
-    ids come first; rows with equal ids follow each other, ordered by text. ``width`` is the bytes of a stored id. A shard is
+    ids come first; rows with equal ids follow each other, ordered by text, and may go on in the next shard. ``width`` is the bytes of a stored id. A shard is
     written under a name of its own attempt and then renamed, so that a task may run twice.
     """
     spark = docs.sparkSession
@@ -205,7 +207,8 @@ def write_tables(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [name], "docs": pa.array([table.docs], pa.int64()), "ids": pa.array([table.ids], pa.int64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The beginning of the text parts rows that share an id, should these be too many for one shard.
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, PREFIX)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return scratch.keep(ordered.mapInArrow(frugal(write), "shard int, path string, docs long, ids long"), "manifest")
 
 

@@ -408,7 +408,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     proof = scratch.keep(proven.mapInArrow(frugal(digests), "src long, at long, words long, digest binary").distinct(), "proof")
     claimed = parts.join(proof, ["src", "at", "words"]).select("doc", "start", "words", "digest").distinct()
     claims = scratch.keep(claimed.groupBy("doc").agg(F.collect_list(F.struct("start", "words", "digest")).alias("claims")), "claims")
-    scratch.drop(sources)
+    scratch.only(claims)
     scratch.free_shuffles()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -252,6 +252,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, tile: int = TILE,
     found = scratch.keep(first.where("side < 0").select("node", "other", "links").unionAll(exact), "found")
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(scratch, found.where("other >= 0").unionAll(_shared_ids(known, classes)), "node", "other")
+    scratch.only(rows, classes, found, groups)
     group = classes.join(groups, "node", "left").join(degree, "node", "left").select("cls", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("group"))
     smallest = group.groupBy("group").agg(F.min("rep").alias("component_id"))
     of_class = group.join(smallest, "group").select("cls", "n_links", "component_id")
