@@ -199,3 +199,37 @@ def test_a_large_group_is_a_shard_in_its_place_and_the_others_stay_even(sizes, p
         mine = max([sum(r) for r in homes.values() if sum(r) < capacity], default=0)
         best = min(max([sum(r) for r in runs if r != [large]], default=0) for runs in partitions(sizes, shards))
         assert mine <= best if [large] in homes.values() else True
+
+
+def plain_best_two_fit(lengths, capacity):
+    """One bin after the other from a list of pieces: greedily the longest that fits, then the shortest of the bin replaced by the
+    two unpacked pieces that fill the widened gap best, if they leave less of it (longest first among equals)."""
+    left, bins = sorted(lengths), []
+    while left:
+        bin_, gap, rest = [], capacity, list(left)
+        for n in sorted(left, reverse=True):
+            if n <= gap:
+                bin_.append(n)
+                rest.remove(n)
+                gap -= n
+        if gap and len(bin_) > 1:
+            small = bin_[-1]
+            pool = sorted([*rest, small], reverse=True)
+            best = (small,)
+            for i, a in enumerate(pool):
+                for b in pool[i + 1 :]:
+                    if a + b <= gap + small and a + b > sum(best):
+                        best = (a, b)
+            bin_[-1:] = best
+        for n in bin_:
+            left.remove(n)
+        bins.append(sorted(bin_))
+    return sorted(bins)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=24), st.integers(40, 64))
+def test_packing_by_counts_is_best_two_fit_piece_by_piece(lengths, capacity):
+    plan = packing.best_two_fit(Counter(lengths), capacity)
+    got = sorted(sorted(bin_) for times, bin_ in plan for _ in range(times))
+    assert got == plain_best_two_fit(lengths, capacity)
