@@ -36,6 +36,18 @@ def without_prefix(path: Column | str, n: int) -> Column:
     return F.slice(path, n + 1, F.greatest(F.size(path) - n, F.lit(0)))
 
 
+def key_text(parts: list[str]) -> str:
+    """A path as one string that orders as the path does: each component ends with U+0000, which no escaped component holds."""
+    return "".join(p.replace("\1", "\1\2").replace("\0", "\1\1") + "\0" for p in parts)
+
+
+def key_column(path: Column | str) -> Column:
+    """``key_text`` of a column of paths."""
+    path = F.col(path) if isinstance(path, str) else path
+    escape = lambda c: F.concat(F.replace(F.replace(c, F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1")), F.lit("\0"))
+    return F.array_join(F.transform(path, escape), "")
+
+
 def within(path: Column | str, start: list[str] | None, end: list[str] | None) -> Column:
     """Half-open interval [start, end); None leaves a side open."""
     path = F.col(path) if isinstance(path, str) else path

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def flatten(value: Any, path: tuple[str, ...] = ()) -> list[tuple[list[str], str]]:
-    """Leaves of a nested value; dict keys and list positions become components, leaves text, None an empty text."""
+def flatten(value: Any, path: tuple[str, ...] = ()) -> list[tuple[list[str], str | bytes]]:
+    """Leaves of a nested value; dict keys and list positions become components, leaves text, None an empty text; bytes stay bytes."""
     if isinstance(value, dict):
         return [leaf for k, v in value.items() for leaf in flatten(v, (*path, str(k)))]
     if isinstance(value, (list, tuple)):
         return [leaf for i, v in enumerate(value) for leaf in flatten(v, (*path, str(i)))]
     if isinstance(value, (bytes, bytearray)):
-        return [(list(path), bytes(value).decode("utf-8", "replace"))]
+        return [(list(path), bytes(value))]
     if isinstance(value, bool):
         return [(list(path), "true" if value else "false")]
     return [(list(path), "" if value is None else str(value))]

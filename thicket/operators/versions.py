@@ -1,4 +1,4 @@
-"""Snapshots of an append-only operation log: ``path``, ``value``, ``txn``, ``seq``, ``is_delete``."""
+"""Snapshots of an append-only operation log: ``path``, ``value``, ``txn``, ``seq``, ``is_delete``; a store's log has ``key``, too."""
 
 from __future__ import annotations
 
@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _by(ops: DataFrame) -> str:
+    return "key" if "key" in ops.columns else "path"
+
+
 def _newest(ops: DataFrame) -> DataFrame:
     """The newest version of each path; within a transaction the later operation wins. Combined before the shuffle."""
-    last = F.max_by(F.struct("value", "is_delete", "txn"), F.struct("txn", "seq")).alias("last")
-    return ops.groupBy("path").agg(last).select("path", "last.value", "last.is_delete", "last.txn")
+    carried = [c for c in ops.columns if c not in (_by(ops), "seq")]
+    last = F.max_by(F.struct(*carried), F.struct("txn", "seq")).alias("last")
+    return ops.groupBy(_by(ops)).agg(last).select(_by(ops), *(f"last.{c}" for c in carried))
 
 
 def snapshot(ops: DataFrame, as_of: int | None = None) -> DataFrame:
-    """``path``, ``value`` as of a transaction (of the newest one if None); deleted paths are absent."""
+    """``path``, ``value`` (and the log's other columns) as of a transaction, the newest if None; deleted paths are absent."""
     seen = ops if as_of is None else ops.where(F.col("txn") <= as_of)
-    return _newest(seen).where(~F.col("is_delete")).select("path", "value")
+    return _newest(seen).where(~F.col("is_delete")).drop("is_delete", "txn")
 
 
 def collect_versions(ops: DataFrame, oldest_reader: int) -> DataFrame:
@@ -24,7 +29,7 @@ def collect_versions(ops: DataFrame, oldest_reader: int) -> DataFrame:
     Kept are versions after that transaction and, of the others, the newest of each path unless it is a deletion.
     """
     old = F.col("txn") <= oldest_reader
-    rank = F.row_number().over(Window.partitionBy("path", old).orderBy(F.desc("txn"), F.desc("seq")))
+    rank = F.row_number().over(Window.partitionBy(_by(ops), old).orderBy(F.desc("txn"), F.desc("seq")))
     kept = ops.withColumn("__old", old).withColumn("__rank", rank).where(~F.col("__old") | ((F.col("__rank") == 1) & ~F.col("is_delete")))
     return kept.drop("__old", "__rank")
 
