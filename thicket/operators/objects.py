@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What stands for an object or a list without entries; bytes, so that no text is taken for one.
+EMPTY_OBJECT, EMPTY_LIST = b"\0{}", b"\0[]"
+
+
 def flatten(value: Any, path: tuple[str, ...] = ()) -> list[tuple[list[str], str | bytes]]:
     """Leaves of a nested value; dict keys and list positions become components, leaves text, None an empty text; bytes stay bytes."""
+    if isinstance(value, (dict, list, tuple)) and not value:
+        return [(list(path), EMPTY_OBJECT if isinstance(value, dict) else EMPTY_LIST)]
     if isinstance(value, dict):
         return [leaf for k, v in value.items() for leaf in flatten(v, (*path, str(k)))]
     if isinstance(value, (list, tuple)):
@@ -36,7 +42,7 @@ def reconstruct(leaves: list[tuple[list[str], Any]]) -> Any:
 
 def _shape(node: Any) -> Any:
     if not isinstance(node, dict):
-        return node
+        return {EMPTY_OBJECT: {}, EMPTY_LIST: []}.get(node, node) if isinstance(node, bytes) else node
     out = {k: _shape(v) for k, v in node.items()}
     if out and set(out) == {str(i) for i in range(len(out))}:
         return [out[str(i)] for i in range(len(out))]

@@ -10,7 +10,10 @@ INDEXES = ("spo", "pos", "osp", "pso")
 
 
 def insert(triples: DataFrame, new: DataFrame) -> DataFrame:
-    return triples.select("s", "p", "o").unionByName(new.select("s", "p", "o")).distinct()
+    """Appends what is not there yet: the table is looked through once for the new triples, which are few, and never regrouped."""
+    new, triples = new.select("s", "p", "o").distinct(), triples.select("s", "p", "o")
+    there = triples.join(new, ["s", "p", "o"], "left_semi")
+    return triples.unionByName(new.join(there, ["s", "p", "o"], "left_anti"))
 
 
 def delete(triples: DataFrame, gone: DataFrame) -> DataFrame:
@@ -31,6 +34,13 @@ def expand(triples: DataFrame, indexes_of=None) -> DataFrame:
     return out.select("e.*")
 
 
+def collapse(keys: DataFrame) -> DataFrame:
+    """Triples from index keys (``path``: the index's name and the components in its order), whichever indexes they have."""
+    part = lambda i: F.get(F.col("path"), F.lit(i))
+    columns = [F.coalesce(*(F.when(part(0) == i, part(i.index(c) + 1)) for i in INDEXES)).alias(c) for c in "spo"]
+    return keys.where(part(0).isin(list(INDEXES)) & (F.size("path") == 4)).select(*columns).distinct()
+
+
 def out_step(vertices: DataFrame, triples: DataFrame, predicate: str) -> DataFrame:
     edges = triples.where(F.col("p") == predicate).select(F.col("s").alias("v"), "o")
     return vertices.join(edges, "v").select(F.col("o").alias("v")).distinct()

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import METRICS, inner
+from . import scans
 
 #: Queries that one pass over the vectors takes along: the bound of what is sent to every task.
 QUERY_BLOCK = 1024
@@ -22,7 +24,7 @@ def vector_literal(values) -> Column:
 
 
 def flat_search(vectors: DataFrame, query, k: int, metric: str = "l2") -> DataFrame:
-    """The exact ``k`` nearest: all columns and ``distance``; ties by id. One pass and a top-k, nothing is shuffled but candidates."""
+    """The exact ``k`` nearest: all columns and ``distance``; ties by id. One pass, a top-k a partition and their merge."""
     return vectors.withColumn("distance", METRICS[metric](F.col("embedding"), vector_literal(query))).orderBy("distance", "id").limit(k)
 
 
@@ -187,9 +189,12 @@ def slsh_search(keyed: DataFrame, projections: list[list[float]], width: float,
     return flat_search(after.unionByName(before), query, k, metric)
 
 
+# The defaults of an index's format and of its searches.
+
+
 @dataclass(frozen=True)
 class Format:
-    """What stays as it is but for ``migrate``."""
+    """What stays as it is but for ``migrate``; ``bits`` is kept for files that name it, keys here are whole numbers."""
 
     dim: int
     index: str = "flat"
@@ -211,20 +216,34 @@ class Runtime:
 
 
 class VectorIndex:
-    """Upserts, deletions and searches over a frame of vectors; an id has one vector, one cluster and one key."""
+    """Upserts, deletions and searches over a frame of vectors; an id has one vector, one cluster (``cid``) and one key (``lsh``).
+
+    Cluster and key are columns that are made when a vector comes in or the clusters are trained, and stored with it.
+    """
 
     def __init__(self, spark, fmt: Format, runtime: Runtime | None = None, vectors: DataFrame | None = None):
         if fmt.dim <= 0 or fmt.index not in ("flat", "ivf", "slsh") or fmt.metric not in METRICS:
             raise ValueError("bad format")
         self.spark, self.format, self.runtime = spark, fmt, runtime or Runtime()
-        self.vectors = vectors if vectors is not None else spark.createDataFrame([], "id string, embedding array<float>, metadata binary")
         self.centroids: list[tuple[int, list[float]]] = []
         rng = np.random.default_rng(42)
         self.projections = rng.uniform(0, 1, (fmt.tables, fmt.dim)).tolist()
+        self._count: int | None = None
+        self._pool: ThreadPoolExecutor | None = None
+        self.vectors = self._placed(vectors if vectors is not None else spark.createDataFrame([], "id string, embedding array<float>, metadata binary"))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """With the cluster or key that the index searches by."""
+        rows = rows.select("id", "embedding", "metadata")
+        if self.format.index == "ivf":
+            return assign(rows, self.centroids, self.format.metric)
+        return slsh_key(rows, self.projections, self.format.width) if self.format.index == "slsh" else rows
 
     def insert_frame(self, new: DataFrame) -> VectorIndex:
-        """One append; an id that is there is replaced."""
-        self.vectors = self.vectors.join(new.select("id"), "id", "left_anti").unionByName(new.select(*self.vectors.columns))
+        """One append; an id that is there is replaced, and of rows of one id in ``new`` the one with the greatest vector counts."""
+        one = new.groupBy("id").agg(F.max_by(F.struct("embedding", "metadata"), "embedding").alias("row")).select("id", "row.*")
+        self.vectors = self.vectors.join(one.select("id"), "id", "left_anti").unionByName(self._placed(one))
+        self._count = None
         return self
 
     def insert(self, rows: list[tuple[str, list[float], bytes | None]]) -> VectorIndex:
@@ -234,18 +253,39 @@ class VectorIndex:
         return self.insert_frame(self.spark.createDataFrame(list(last.values()), "id string, embedding array<float>, metadata binary"))
 
     def delete(self, ids: list[str]) -> VectorIndex:
-        self.vectors = self.vectors.where(~F.col("id").isin(ids))
+        self.vectors, self._count = self.vectors.where(~F.col("id").isin(ids)), None
         return self
 
     def count(self) -> int:
-        return self.vectors.count()
-
-    def train(self) -> VectorIndex:
+        """The number of vectors; counted once until something changes."""
+        if self._count is None:
+            self._count = self.vectors.count()
+        return self._count
+
+    def train(self, progress: Callable[[str, int, int], None] | None = None) -> VectorIndex:
+        """Makes the clusters anew and places all vectors; ``progress`` hears of each step, its number and how many there are."""
+        tell = progress or (lambda *_: None)
         if self.format.index == "ivf":
+            tell("train", 0, 2)
             self.centroids = train_centroids(self.vectors, self.format.clusters, self.format.metric)
+            tell("place", 1, 2)
+        self.vectors = self._placed(self.vectors)
+        tell("done", 2, 2)
+        return self
+
+    def rebuild(self, progress: Callable[[str, int, int], None] | None = None) -> VectorIndex:
+        """Places all vectors anew by the clusters that there are; without clusters these are made first."""
+        if self.format.index == "ivf" and not self.centroids:
+            return self.train(progress)
+        self.vectors = self._placed(self.vectors)
+        (progress or (lambda *_: None))("done", 1, 1)
         return self
 
-    rebuild = train
+    def submit(self, method: str, *args, **kwargs) -> Future:
+        """Runs a method on a thread of the index's own: ``submit("insert", rows)``, ``submit("search", query)``."""
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(1)
+        return self._pool.submit(getattr(self, method), *args, **kwargs)
 
     def reconfigure(self, **changes) -> VectorIndex:
         self.runtime = replace(self.runtime, **changes)
@@ -256,21 +296,53 @@ class VectorIndex:
         if changes.get("dim", self.format.dim) != self.format.dim:
             raise ValueError("the number of dimensions can't change")
         fresh = VectorIndex(self.spark, replace(self.format, **changes), self.runtime, self.vectors)
-        self.format, self.projections, self.centroids = fresh.format, fresh.projections, []
+        self.format, self.projections, self.centroids, self.vectors = fresh.format, fresh.projections, [], fresh.vectors
         return self.train()
 
     def save(self, folder: str) -> None:
-        """The vectors (by cluster, if there are any, so that a search reads only those it probes) and the settings."""
-        rows = assign(self.vectors, self.centroids, self.format.metric)
-        rows.repartition("cid").write.partitionBy("cid").mode("overwrite").parquet(f"{folder}/vectors")
-        settings = json.dumps({"format": asdict(self.format), "runtime": asdict(self.runtime), "centroids": self.centroids})
+        """The vectors with their clusters or keys, and the settings.
+
+        An inverted file is partitioned by cluster, so that a search reads those it probes; keys are stored in order.
+        """
+        rows, index = self.vectors, self.format.index
+        if index == "ivf":
+            rows.repartition("cid", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("cid").mode("overwrite").parquet(f"{folder}/vectors")
+        else:
+            (rows.repartitionByRange("lsh", "id").sortWithinPartitions("lsh", "id") if index == "slsh" else rows).write.mode("overwrite").parquet(f"{folder}/vectors")
+        settings = json.dumps({"layer": "vector", "format": asdict(self.format), "runtime": asdict(self.runtime), "centroids": self.centroids, "count": self.count()})
         self.spark.createDataFrame([(settings,)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
 
     @classmethod
     def load(cls, spark, folder: str) -> VectorIndex:
         found = json.loads(spark.read.parquet(f"{folder}/settings").first().settings)
-        rows = spark.read.parquet(f"{folder}/vectors").drop("cid")
-        out = cls(spark, Format(**found["format"]), Runtime(**found["runtime"]), rows)
+        if found.get("layer") != "vector":
+            raise PermissionError("the folder belongs to another layer")
+        out = cls(spark, Format(**found["format"]), Runtime(**found["runtime"]))
+        out.vectors, out._count = spark.read.parquet(f"{folder}/vectors"), found["count"]
+        out.centroids = [(c, v) for c, v in found["centroids"]]
+        return out
+
+    def keep(self, subtree) -> int:
+        """Writes vectors, their places and the settings below a subtree of a store, as one transaction; it belongs to this layer then."""
+        subtree.claim("vector")
+        columns = [F.struct(F.lit(c).alias("f"), (F.col(c) if c == "metadata" else F.to_json(c) if c in ("embedding", "lsh") else F.col(c).cast("string")).cast("binary").alias("v")) for c in self.vectors.columns if c != "id"]
+        rows = self.vectors.select("id", F.explode(F.array(*columns)).alias("e")).where(F.col("e.v").isNotNull())
+        rows = rows.select(F.array(F.lit("vectors"), F.col("id"), F.col("e.f")).alias("path"), F.col("e.v").alias("value"))
+        settings = json.dumps({"format": asdict(self.format), "runtime": asdict(self.runtime), "centroids": self.centroids}).encode()
+        return subtree.put_rows(rows.unionAll(self.spark.createDataFrame([(["settings"], bytearray(settings))], "path array<string>, value binary")))
+
+    @classmethod
+    def open(cls, subtree) -> VectorIndex:
+        """The index that ``keep`` wrote."""
+        subtree.claim("vector")
+        found = json.loads(subtree.get(["settings"]))
+        out = cls(subtree.spark, Format(**found["format"]), Runtime(**found["runtime"]))
+        part = lambda i: F.get(F.col("path"), F.lit(i))
+        value = lambda c: F.max(F.when(part(2) == c, F.col("data")))
+        kinds = {"metadata": "binary", "embedding": "array<float>", "lsh": "array<int>", "cid": "int"}
+        raw = scans.below(subtree.kv(), ["vectors"]).groupBy(part(1).alias("id")).agg(*(value(c).alias(c) for c in kinds if c in ("embedding", "metadata", *out.vectors.columns)))
+        text = lambda c: F.col(c).cast("string")
+        out.vectors = raw.select("id", *((F.col(c) if c == "metadata" else F.from_json(text(c), kinds[c]) if "array" in kinds[c] else text(c).cast("int")).alias(c) for c in raw.columns if c != "id"))
         out.centroids = [(c, v) for c, v in found["centroids"]]
         return out
 
@@ -278,10 +350,10 @@ class VectorIndex:
         """``id``, ``distance``, ``metadata`` of the nearest ``k`` (the runtime's ``top_k`` if not positive)."""
         f, r, k = self.format, self.runtime, k if k > 0 else self.runtime.top_k
         if f.index == "ivf" and self.centroids and self.count() >= r.flat_until:
-            out = ivf_search(assign(self.vectors, self.centroids, f.metric), self.centroids, query, k, r.nprobe, f.metric)
+            out = ivf_search(self.vectors, self.centroids, query, k, r.nprobe, f.metric)
         elif f.index == "slsh":
             radius = scan_radius(self.count(), r.radius)
-            out = slsh_search(slsh_key(self.vectors, self.projections, f.width), self.projections, f.width, query, k, radius, f.metric)
+            out = slsh_search(self.vectors, self.projections, f.width, query, k, radius, f.metric)
         else:
             out = flat_search(self.vectors, query, k, f.metric)
         return out.select("id", "distance", "metadata")

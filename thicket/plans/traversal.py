@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,6 +129,11 @@ def parse(source: str, morphisms: dict[str, tuple[Step, ...]] | None = None) ->
     return Parser(source, morphisms).whole()
 
 
+def predicates_of(steps: tuple[Step, ...]) -> set[str]:
+    own = {s.args[0] for s in steps if s.kind in ("out", "in", "has")}
+    return own.union(*(predicates_of(c) for s in steps for c in s.children))
+
+
 @dataclass
 class Stats:
     """Per predicate: triples and distinct subjects; estimates follow from these alone."""
@@ -291,10 +298,13 @@ class IndexSchema:
         self.source = source
         self.indexes: dict[str, tuple[str, ...]] = {}
         self.types: dict[str, dict[str, str]] = {}
-        if source.strip() and not self._TYPE.search(source):
-            raise TraversalError("Expected a type")
-        for name, of_type, body in self._TYPE.findall(source):
+        text = re.sub(r"#[^\n]*", "", source)
+        if rest := self._TYPE.sub("", text).strip():
+            raise TraversalError(f"Expected a type at {text.index(rest[:1])}, got '{rest[:20]}'")
+        for name, of_type, body in self._TYPE.findall(text):
             default = self._list(of_type) or ("spo", "pos")
+            if rest := self._FIELD.sub("", body).strip():
+                raise TraversalError(f"Expected a field of type '{name}', got '{rest[:20]}'")
             for field, kind, own in self._FIELD.findall(body):
                 self.types.setdefault(name, {})[field] = kind
                 self.indexes.setdefault(field, self._list(own) or default)
@@ -317,6 +327,7 @@ class Graph:
     def __init__(self, triples: DataFrame, schema: str = "", stats: Stats | None = None):
         self.spark, self.triples, self.schema, self.stats = triples.sparkSession, triples, IndexSchema(schema), stats
         self.morphisms: dict[str, tuple[Step, ...]] = {}
+        self.subtree, self._pool = None, None
 
     def define_morphism(self, name: str, source: str) -> None:
         """``g.Morphism("name").Step(...)``; the first definition of a name stands."""
@@ -358,15 +369,59 @@ class Graph:
         return T.expand(self.triples, self.schema.indexes)
 
     def save(self, folder: str) -> None:
-        """Triples by predicate, and the schema beside them."""
+        """Triples by predicate, and beside them the schema and the statistics, so that a query need not make these."""
         T.write(self.triples, f"{folder}/triples")
-        self.spark.createDataFrame([(self.schema.source,)], "source string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/schema")
+        stored = self.spark.read.schema(T.SCHEMA).parquet(f"{folder}/triples")
+        self.stats = Stats.of(stored)
+        about = json.dumps({"schema": self.schema.source, "stats": self.stats.counts})
+        self.spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Graph:
         rows = spark.read.schema(T.SCHEMA).parquet(f"{folder}/triples").select("s", "p", "o")
-        return cls(rows, spark.read.parquet(f"{folder}/schema").first().source)
+        about = json.loads(spark.read.parquet(f"{folder}/about").first().about)
+        return cls(rows, about["schema"], Stats({p: tuple(n) for p, n in about["stats"].items()}))
+
+    def analyse(self, query: str | Query | None = None) -> Graph:
+        """Makes the statistics of all predicates, or of those that a query names: no other triples are read."""
+        rows = self.triples
+        if query is not None:
+            steps = parse(query, self.morphisms) if isinstance(query, str) else self._inline(query.steps)
+            rows = rows.where(F.col("p").isin(sorted(predicates_of(steps))))
+        self.stats = Stats.of(rows)
+        return self
+
+    def estimates(self, query: str | Query) -> int:
+        """The number of vertices that the statistics let expect."""
+        return (self.stats or Stats({})).chain(self.plan(query))
+
+    # As a layer of a store: one key for each index and triple, all of a call's keys in one transaction.
 
-    def analyse(self) -> Graph:
-        self.stats = Stats.of(self.triples)
+    @classmethod
+    def open(cls, subtree, schema: str = "") -> Graph:
+        """The graph that a subtree of a store holds; the subtree belongs to the graph layer from then on."""
+        subtree.claim("graph")
+        stored = subtree.get(["__meta", "schema"])
+        if stored is None and schema:
+            subtree.put(["__meta", "schema"], schema)
+        out = cls(subtree.spark.createDataFrame([], T.SCHEMA), stored or schema)
+        out.subtree = subtree
+        out.triples = T.collapse(subtree.kv().select("path"))
+        return out
+
+    def _keys(self, rows: list[tuple[str, str, str]]) -> list[list[str]]:
+        named = [dict(zip("spo", r)) for r in rows]
+        return [[i, *(t[c] for c in i)] for t in named for i in T.INDEXES if self.schema.needs(t["p"], i)]
+
+    def write(self, insert: list[tuple[str, str, str]] = (), delete: list[tuple[str, str, str]] = ()) -> Graph:
+        """Inserts and deletes triples of a graph in a store: with all of their index keys or not at all."""
+        ops = [{"type": "put", "key": k, "value": ""} for k in self._keys(insert)] + [{"type": "del", "key": k} for k in self._keys(delete)]
+        self.subtree.batch(ops)
+        self.triples = T.collapse(self.subtree.kv().select("path"))
         return self
+
+    def submit(self, method: str, *args, **kwargs) -> Future:
+        """Runs a method on a thread of the graph's own: ``submit("insert", rows)``, ``submit("query", text)``."""
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(1)
+        return self._pool.submit(getattr(self, method), *args, **kwargs)

@@ -106,7 +106,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
 
     def leaves(df: DataFrame, plural: str, key: str, fields: dict[str, str]) -> list[DataFrame]:
-        return [df.select(F.array(F.lit(plural), F.col(key).cast("string"), F.lit(f)).alias("path"), F.col(c).cast("string").alias("value")) for f, c in fields.items()]
+        entries = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(c).cast("string").alias("v")) for f, c in fields.items()))).alias("e")
+        rows = df.select(F.col(key).cast("string").alias("id"), entries)
+        return [rows.select(F.array(F.lit(plural), F.col("id"), F.col("e.f")).alias("path"), F.col("e.v").alias("value"))]
 
     listed = t("nation").select(F.array(F.lit("Regions"), F.col("n_regionkey").cast("string"), F.lit("nations"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0")).alias("path"), F.col("n_nationkey").cast("string").alias("value"))
     parts = [
