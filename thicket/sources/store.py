@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,12 +104,19 @@ class Store:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
     def _create(self, name: str) -> bool:
-        """Creates an empty file; whether there was none."""
+        """Creates an empty file; whether there was none. Hadoop's local file system looks and creates in two steps, others in one."""
+        path = self._path(f"{self.location}/{name}")
         try:
-            self._fs.create(self._path(f"{self.location}/{name}"), False).close()
+            if self._fs.getScheme() == "file":
+                os.makedirs(path.getParent().toUri().getPath(), exist_ok=True)
+                os.close(os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            else:
+                self._fs.create(path, False).close()
             return True
+        except FileExistsError:
+            return False
         except Exception as e:
-            if "exist" in str(e).lower():
+            if "already exists" in str(e):
                 return False
             raise
 
