@@ -12,9 +12,13 @@ from .operators import objects, scans, triples, vectors, versions
 from .plans.graphql import GraphQL
 from .plans.traversal import Graph, Query
 from .sources import views
+from .stored import QUERIES as STORED
+from .stored import VECTORS_SQL as _VECTORS_SQL
+from .stored import label_centroids
+from .stored import query_vector as _query_vector
 
 Made = tuple[Callable[[SparkSession, str], DataFrame], str | None]
-QUERIES: dict[str, Made] = {}
+QUERIES: dict[str, Made] = dict(STORED)
 
 # Traversals
 
@@ -43,13 +47,16 @@ _graph("graph_has_eq", 'g.Has("priority", "1-URGENT").All()', _HAS.format(p="pri
 for _name, _op in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
     _graph(f"graph_has_{_name}", f'g.Has("size", {_op}, "010").All()', _HAS.format(p="size", op=_op, x="010"))
 _graph("graph_has_after_out", 'g.V("nation:7").In("in_nation").In("placed_by").Has("status", "F")', f"SELECT v FROM ({_ORDERS_OF_NATION}) WHERE v IN ({_HAS.format(p='status', op='=', x='F')})")
-_graph("graph_has_chain", 'g.Has("size", ">", "010").Has("size", <=, "030").Has("brand", >=, "Brand#2")'.replace('">"', ">"), f"{_HAS.format(p='size', op='>', x='010')} INTERSECT {_HAS.format(p='size', op='<=', x='030')} INTERSECT {_HAS.format(p='brand', op='>=', x='Brand#2')}", prepare=Graph.analyse)
+_CHAIN = 'g.Has("size", >, "010").Has("size", <=, "030").Has("brand", >=, "Brand#2")'
+_graph("graph_has_chain", _CHAIN, f"{_HAS.format(p='size', op='>', x='010')} INTERSECT {_HAS.format(p='size', op='<=', x='030')} INTERSECT {_HAS.format(p='brand', op='>=', x='Brand#2')}", prepare=lambda g: g.analyse(_CHAIN))
 _graph("graph_and", 'g.V("nation:7").In("in_nation").In("placed_by").And(g.Has("status", "O"), g.Has("priority", "1-URGENT"))', f"{_ORDERS_OF_NATION} INTERSECT {_HAS.format(p='status', op='=', x='O')} INTERSECT {_HAS.format(p='priority', op='=', x='1-URGENT')}")
 _graph("graph_or", 'g.V("nation:7").In("in_nation").Or(g.V("nation:3").In("in_nation"))', f"{_CUSTOMERS} UNION {_BACK.format(p='in_nation', q=repr('nation:3'))}")
 _graph("graph_not", 'g.V("nation:7").In("in_nation").Not(g.Has("segment", "BUILDING"))', f"{_CUSTOMERS} EXCEPT {_HAS.format(p='segment', op='=', x='BUILDING')}")
 _graph("graph_limit", 'g.V("nation:7").In("in_nation").In("placed_by").Limit(10)', f"SELECT v FROM ({_ORDERS_OF_NATION}) ORDER BY v LIMIT 10")
 _graph("graph_count", 'g.V("nation:7").In("in_nation").In("placed_by").Count()', f"SELECT count(*) AS n FROM ({_ORDERS_OF_NATION})", count=True)
 _graph("graph_morphism", 'g.V("nation:7").Follow("orders").Out("contains")', _STEP.format(p="contains", q=_ORDERS_OF_NATION), prepare=lambda g: g.define_morphism("orders", 'g.Morphism("orders").In("in_nation").In("placed_by")'))
+_graph("graph_has_then_out", 'g.Has("segment", "BUILDING").Out("in_nation")', _STEP.format(p="in_nation", q=_HAS.format(p="segment", op="=", x="BUILDING")))
+_graph("graph_has_then_in", 'g.Has("size", >=, "045").In("contains")', _BACK.format(p="contains", q=_HAS.format(p="size", op=">=", x="045")))
 _graph("graph_builder", Query().V("nation:7").In("in_nation").HasGte("segment", "F"), f"SELECT v FROM ({_CUSTOMERS}) WHERE v IN ({_HAS.format(p='segment', op='>=', x='F')})")
 
 
@@ -135,7 +142,7 @@ def _prefix(spark, sf_dir):
     return _keyed(scans.prefix_scan(views.order_kv(spark, sf_dir), ["orders", "12"]))
 
 
-@_plain("kv_read_stream", "SELECT array_to_string(path, '/') AS key FROM kv ORDER BY path LIMIT 25", views.KV_SQL)
+@_plain("kv_read_stream", "SELECT array_to_string(path, '/') AS key FROM kv ORDER BY path", views.KV_SQL)
 def _stream(spark, sf_dir):
     return scans.read_stream(views.order_kv(spark, sf_dir), values=False)
 
@@ -232,19 +239,16 @@ def _introspect(spark, sf_dir):
     return GraphQL(views.ENTITY_SDL, views.entities(spark, sf_dir)).introspect_frame(spark)
 
 
+_gql("gql_fragment_shared", "{ b: Nation { ...named region { label: name } } a: Region { name } } fragment named on Nation { name region { name } }", "SELECT n_nationkey::VARCHAR AS id, n_name AS name, r_name AS region, r_name AS label FROM nation LEFT JOIN region ON r_regionkey = n_regionkey", lambda df: df.select("id", "name", F.col("region.name").alias("region"), F.col("region.label").alias("label")))
+
 # Vectors
 
 _DISTANCE_SQL = {"l2": "list_distance(a.e, b.e)", "cosine": "list_cosine_distance(a.e, b.e)", "dot": "list_negative_inner_product(a.e, b.e)"}
-_VECTORS_SQL = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings), means AS (SELECT label AS cid, i, avg(e[i]) AS m FROM v, range(1, 65) r(i) GROUP BY label, i), centroids AS (SELECT cid, list(m ORDER BY i) AS e FROM means GROUP BY cid)"
-
-
-def _query_vector(v: DataFrame, key: int = 0) -> list[float]:
-    return v.where(F.col("id") == key).first().embedding
 
 
-def _asked(v: DataFrame) -> list[tuple[str, list[float]]]:
+def _asked(v: DataFrame) -> DataFrame:
     """The queries of the searches of many: every row with ``id % 20 = 0``."""
-    return [(str(r.id), list(r.embedding)) for r in v.where("id % 20 = 0").select("id", "embedding").collect()]
+    return v.where("id % 20 = 0").select(F.col("id").cast("string").alias("query_id"), "embedding")
 
 
 for _metric in METRICS:
@@ -255,19 +259,12 @@ for _metric in METRICS:
         return vectors.flat_search(v, _query_vector(v), 10, metric).select("id", F.round("distance", 4).alias("distance"))
 
 
-@_plain("vec_batch_l2", "SELECT query_id, id, rank, round(d, 4) AS distance FROM (SELECT a.id::VARCHAR AS query_id, b.id, list_distance(a.e, b.e) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.e, b.e), b.id)::INT AS rank FROM v a JOIN v b ON a.id % 50 = 7 AND a.id <> b.id AND b.id % 50 <> 7) WHERE rank <= 5", _VECTORS_SQL)
+@_plain("vec_batch_l2", "SELECT query_id, id, rank, round(d, 4) AS distance FROM (SELECT a.id::VARCHAR AS query_id, b.id, list_distance(a.e, b.e) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.e, b.e), b.id)::INT AS rank FROM v a JOIN v b ON a.id % 20 = 0 AND a.id <> b.id) WHERE rank <= 5", _VECTORS_SQL)
 def _batch(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
     return vectors.batch_neighbours(v, _asked(v), 5).select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.round("distance", 4).alias("distance"))
 
 
-def label_centroids(v: DataFrame) -> list[tuple[int, list[float]]]:
-    """Means of the labels: fixed centroids that SQL can state."""
-    dims = len(v.first().embedding)
-    means = v.groupBy("label").agg(*(F.avg(F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in range(dims))).collect()
-    return sorted((r.label, list(r[1:])) for r in means)
-
-
 @_plain("vec_ivf_assign", "SELECT id, arg_min(cid, (d, cid)) AS cid FROM (SELECT v.id, c.cid, list_distance(v.e, c.e) AS d FROM v, centroids c) GROUP BY id", _VECTORS_SQL)
 def _assign(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
@@ -294,7 +291,7 @@ def _slsh_key(spark, sf_dir):
     return vectors.slsh_key(views.vectors(spark, sf_dir), projections(), 0.25).select("id", F.array_join(F.col("lsh").cast("array<string>"), ",").alias("lsh"))
 
 
-@_plain("vec_slsh_search", "SELECT b.id, round(list_distance(a.e, b.e), 4) AS distance FROM k a JOIN (SELECT * FROM (SELECT k.* FROM k, (SELECT lsh AS q FROM k WHERE id = 0) WHERE (CASE WHEN lsh >= q THEN 1 ELSE 0 END) = 1 ORDER BY lsh, id LIMIT 60) UNION ALL SELECT * FROM (SELECT k.* FROM k, (SELECT lsh AS q FROM k WHERE id = 0) WHERE (CASE WHEN lsh < q THEN 1 ELSE 0 END) = 1 ORDER BY lsh DESC, id DESC LIMIT 60)) b ON a.id = 0 ORDER BY list_distance(a.e, b.e), b.id LIMIT 10", _SLSH_SQL)
+@_plain("vec_slsh_search", "SELECT b.id, round(list_distance(a.e, b.e), 4) AS distance FROM k a JOIN (SELECT * FROM (SELECT k.* FROM k, (SELECT lsh AS q FROM k WHERE id = 0) WHERE (CASE WHEN lsh >= q THEN 1 ELSE 0 END) = 1 ORDER BY lsh, id LIMIT (SELECT greatest(200, count(*) // 30) FROM v)) UNION ALL SELECT * FROM (SELECT k.* FROM k, (SELECT lsh AS q FROM k WHERE id = 0) WHERE (CASE WHEN lsh < q THEN 1 ELSE 0 END) = 1 ORDER BY lsh DESC, id DESC LIMIT (SELECT greatest(200, count(*) // 30) FROM v))) b ON a.id = 0 ORDER BY list_distance(a.e, b.e), b.id LIMIT 10", _SLSH_SQL)
 def _slsh(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
     return vectors.slsh_search(vectors.slsh_key(v, projections(), 0.25), projections(), 0.25, _query_vector(v), 10, vectors.scan_radius(v.count())).select("id", F.round("distance", 4).alias("distance"))
@@ -306,7 +303,8 @@ def _recall(spark, sf_dir):
     v, form, run = views.vectors(spark, sf_dir).select("id", "embedding"), vectors.Format(64, "ivf"), vectors.Runtime()
     centroids, asked = vectors.train_centroids(v, form.clusters), _asked(v)
     exact = vectors.batch_neighbours(v, asked, run.top_k).select("query_id", "id")
-    found = vectors.batch_neighbours(vectors.assign(v, centroids), asked, run.top_k, probes=vectors.probe_table(centroids, asked, run.nprobe)).select("query_id", "id", F.lit(1).alias("hit"))
+    probing = asked.withColumn("cids", vectors.probes_column(centroids, run.nprobe))
+    found = vectors.batch_neighbours(vectors.assign(v, centroids), probing, run.top_k).select("query_id", "id", F.lit(1).alias("hit"))
     recall = (F.count("hit") / F.count("*")).alias("recall")
     return exact.join(found, ["query_id", "id"], "left").groupBy(F.col("query_id").cast("long").alias("query_id")).agg(recall)
 

@@ -17,6 +17,8 @@ from . import scans
 
 #: Queries that one pass over the vectors takes along: the bound of what is sent to every task.
 QUERY_BLOCK = 1024
+#: Vectors, and queries, that a task of a join holds.
+VECTOR_BLOCK = 32_768
 
 
 def vector_literal(values) -> Column:
@@ -50,6 +52,19 @@ def pair_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return np.where(norms == 0, 1.0, 1 - dot / np.where(norms == 0, 1.0, norms))
 
 
+def _nearest(x: np.ndarray, queries: np.ndarray, d: np.ndarray, k: int, metric: str, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and distance of the k nearest of each query among ``x``, given rough distances; ties by ``place``, infinite left out."""
+    limit = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else d.max(axis=1)
+    reach = np.sqrt((queries**2).sum(1)) + np.sqrt((x**2).sum(1).max())
+    near = (d <= (limit + 1e-6 * {"l2": reach, "dot": reach**2, "cosine": 1.0}[metric])[:, None]) & np.isfinite(d)
+    q, at = np.nonzero(near)  # the k nearest and all that rounding could put among them
+    exact = pair_distances(x[at], queries[q], metric)
+    order = np.lexsort((place[at], exact, q))
+    q, at, exact = q[order], at[order], exact[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], at[first], exact[first]
+
+
 def batch_search(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int, metric: str = "l2", probes: np.ndarray | None = None) -> DataFrame:
     """``query_id``, ``id``, ``distance``, ``rank`` of the exact ``k`` nearest of each of many queries: products by blocks.
 
@@ -72,16 +87,8 @@ def batch_search(vectors: DataFrame, queries: list[tuple[str, list[float]]], k:
                 d = distances(x, wanted, metric)
                 if seen is not None:
                     d[~seen[:, b.column(2).to_numpy(zero_copy_only=False)]] = np.inf
-                limit = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else d.max(axis=1)
-                reach = np.sqrt((wanted**2).sum(1)) + np.sqrt((x**2).sum(1).max())
-                near = (d <= (limit + 1e-6 * {"l2": reach, "dot": reach**2, "cosine": 1.0}[metric])[:, None]) & np.isfinite(d)
-                q, at = np.nonzero(near)  # the k nearest and all that rounding could put among them
-                exact = pair_distances(x[at], wanted[q], metric)
                 place = np.argsort(np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable"))
-                order = np.lexsort((place[at], exact, q))
-                q, at, exact = q[order], at[order], exact[order]
-                first = np.arange(len(q)) - np.searchsorted(q, q) < k
-                q, at, exact = q[first], at[first], exact[first]
+                q, at, exact = _nearest(x, wanted, d, k, metric, place)
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.string()), b.column(0).take(pa.array(at)), pa.array(exact)], names=["query_id", "id", "distance"])
 
         found = vectors.select("id", "embedding", *(["cid"] if probes is not None else [])).mapInArrow(search, f"query_id string, id {kind}, distance double")
@@ -90,9 +97,46 @@ def batch_search(vectors: DataFrame, queries: list[tuple[str, list[float]]], k:
     return out.select("*", rank).where(F.col("rank") <= k)
 
 
-def batch_neighbours(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int, metric: str = "l2", probes: np.ndarray | None = None) -> DataFrame:
-    """``batch_search`` of rows of the table itself: all rows are searched, and only a query's own id is left out."""
-    found = batch_search(vectors, queries, k + 1, metric, probes).where(F.col("id").cast("string") != F.col("query_id"))
+def join_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """``batch_search`` for any number of queries, which stay a frame: ``query_id``, ``embedding`` and, if the vectors have ``cid``, ``cids``.
+
+    Vectors and queries are dealt to blocks of bounded size, and each block of vectors meets each block of queries in a task of its
+    own, which gives at most ``k`` rows a query. ``cids`` lists the clusters that a query may see.
+    """
+    spark, kind, probed = vectors.sparkSession, vectors.schema["id"].dataType.simpleString(), "cids" in queries.columns
+    blocks, runs = (max(1, -(-df.count() // size)) for df, size in ((vectors, VECTOR_BLOCK), (queries, VECTOR_BLOCK)))
+    runs = max(runs, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    data = vectors.select("id", "embedding", *["cid"] * probed, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), each(runs).alias("run"))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), *["cids"] * probed, F.pmod(F.xxhash64("query_id"), F.lit(runs)).alias("run"), each(blocks).alias("block"))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, names = left.column("id").combine_chunks(), right.column("query_id").combine_chunks()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            x, wanted = (np.array(t.column("embedding").to_pylist(), dtype=np.float64) for t in (left, right))
+            place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"))
+            for a in range(0, len(wanted), 256):
+                d = distances(x, wanted[a : a + 256], metric)
+                if probed:
+                    cid = left.column("cid").to_numpy()
+                    for row, seen in zip(d, right.column("cids").slice(a, 256).to_pylist()):
+                        row[~np.isin(cid, seen)] = np.inf
+                q, at, exact = _nearest(x, wanted[a : a + 256], d, k, metric, place)
+                found.append((q + a, at, exact))
+        q, at, exact = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"query_id": names.take(pa.array(q)), "id": ids.take(pa.array(at)), "distance": exact})
+
+    keys = ["block", "run"]
+    out = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, f"query_id string, id {kind}, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).alias("rank")
+    return out.select("*", rank).where(F.col("rank") <= k)
+
+
+def batch_neighbours(vectors: DataFrame, queries: list[tuple[str, list[float]]] | DataFrame, k: int, metric: str = "l2", probes: np.ndarray | None = None) -> DataFrame:
+    """``batch_search`` (``join_search`` for a frame) of rows of the table itself: all are searched, only a query's own id is left out."""
+    found = join_search(vectors, queries, k + 1, metric) if isinstance(queries, DataFrame) else batch_search(vectors, queries, k + 1, metric, probes)
+    found = found.where(F.col("id").cast("string") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -100,6 +144,13 @@ def batch_neighbours(vectors: DataFrame, queries: list[tuple[str, list[float]]],
 # Inverted file
 
 
+def probes_column(centroids: list[tuple[int, list[float]]], nprobe: int, metric: str = "l2") -> Column:
+    """The ``nprobe`` clusters nearest to ``embedding``, the choice of ``ivf_search``, as a column."""
+    named = F.array(*(F.struct(F.lit(c).alias("cid"), vector_literal(v).alias("v")) for c, v in centroids))
+    scored = F.array_sort(F.transform(named, lambda c: F.struct(METRICS[metric](F.col("embedding"), c["v"]).alias("d"), c["cid"].alias("cid"))))
+    return F.transform(F.slice(scored, 1, nprobe), lambda c: c["cid"])
+
+
 def assign(vectors: DataFrame, centroids: list[tuple[int, list[float]]], metric: str = "l2") -> DataFrame:
     """Adds ``cid``, the nearest centroid, the lowest of equals. Centroids are a setting's worth, not data."""
     if not centroids:

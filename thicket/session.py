@@ -1,9 +1,11 @@
-"""Making the package importable on the executors."""
+"""What a session gives: the package on the executors, and the folder that all of them share."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +28,32 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _SHIPPED.add(app)
     return spark
+
+
+_LOCAL_SHARED: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Only where the session does not name one and runs in one process (tests) a fresh local folder is used, one per application; on a
+    cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_SHARED:
+        _LOCAL_SHARED[app] = "file://" + tempfile.mkdtemp(prefix="thicket-")
+    return _LOCAL_SHARED[app]
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/thicket-{name}-{uuid.uuid4().hex[:12]}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return at.toString()
