@@ -1,13 +1,10 @@
-"""Helpers shared by the training-data operators: the shared folder, scratch tables, gapless numbering."""
+"""Helpers shared by the training-data operators: texts in slices, caches of words, scratch tables, gapless numbering."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder
+
 #: Bytes of text that are worked on together, and bytes that one generation of a cache of words may hold.
 SLICE, CACHE = 3_000_000, 20_000_000
 
@@ -115,26 +114,6 @@ def distinct_words(texts: pa.Array, cut: Callable = pc.utf8_split_whitespace) ->
     return words, at, np.diff(edges).astype(np.int64)
 
 
-_LOCAL_SHARED: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session does not name one and runs in one process (tests) a fresh local folder is used, one per application; on a
-    cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SHARED:
-        _LOCAL_SHARED[app] = "file://" + tempfile.mkdtemp(prefix="thicket-")
-    return _LOCAL_SHARED[app]
-
-
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no more than a reread.
 
@@ -143,12 +122,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/thicket-{name}-{uuid.uuid4().hex[:12]}"
+        self.root = scratch_folder(spark, name)
         self._n = 0
         self._kept: list[str] = []
-        fs, path = self._at(self.root)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
 
     def _at(self, path: str) -> tuple:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
