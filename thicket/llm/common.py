@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_folder
 
 #: Bytes of text that are worked on together, and bytes that one generation of a cache of words may hold.
-SLICE, CACHE = 3_000_000, 20_000_000
+SLICE, CACHE = 3_000_000, 10_000_000
 
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -48,8 +48,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: The session's limit of a batch's bytes, and what it is set to where the session does not say.
+_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
+
+
 def frugal(run: Callable) -> Callable:
-    """A function for ``mapInArrow`` that hands unused memory back after each batch: workers outlive their stage."""
+    """A function for ``mapInArrow`` that hands unused memory back after each batch: workers outlive their stage.
+
+    Batches are bounded by their bytes, too, for both sides hold them whole: a session that has no such limit gets one.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not spark._jsparkSession.sessionState().conf().contains(_LIMIT):
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in run(batches):
@@ -177,24 +187,40 @@ def number_within(scratch: Scratch, df: DataFrame, key: str, out: str, name: str
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, seen = TaskContext.get().partitionId(), {}
+        numbers = LocalNumbers()
         for b in batches:
-            keys = b.column(schema.names.index(key)).to_numpy(zero_copy_only=False)
-            order = np.argsort(keys, kind="stable")
-            if not len(order):
-                continue
-            ranked = keys[order]
-            first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-            size = np.diff(np.r_[first, len(ranked)])
-            base = np.array([seen.get(k, 0) for k in ranked[first].tolist()], dtype=np.int64)
-            for k, n in zip(ranked[first].tolist(), size.tolist()):
-                seen[k] = seen.get(k, 0) + n
-            number = np.empty(len(keys), dtype=np.int64)
-            number[order] = np.repeat(base - first, size) + np.arange(len(keys))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(keys), pid, dtype=np.int32)), pa.array(number)], names=[*b.schema.names, "__pid", "__local"])
-
-    rows = scratch.keep(df.mapInArrow(local, f"{fields}, __pid int, __local long"), name)
+            yield numbers.add(b, schema.names.index(key))
+
+    return numbered(scratch.keep(df.mapInArrow(local, f"{fields}, {LocalNumbers.FIELDS}"), name), key, out)
+
+
+class LocalNumbers:
+    """The numbers that a partition gives its rows within each value of a key."""
+
+    FIELDS = "__pid int, __local long"
+
+    def __init__(self):
+        self.pid, self.seen = TaskContext.get().partitionId(), {}
+
+    def add(self, b: pa.RecordBatch, column: int) -> pa.RecordBatch:
+        """A batch with the partition and the numbers by a column, which must not be null."""
+        keys = b.column(column).to_numpy(zero_copy_only=False)
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.r_[first, len(ranked)])
+        base = np.array([self.seen.get(k, 0) for k in ranked[first].tolist()], dtype=np.int64)
+        for k, n in zip(ranked[first].tolist(), size.tolist()):
+            self.seen[k] = self.seen.get(k, 0) + n
+        number = np.empty(len(keys), dtype=np.int64)
+        number[order] = np.repeat(base - first, size) + np.arange(len(keys))
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(keys), self.pid, dtype=np.int32)), pa.array(number)], names=[*b.schema.names, "__pid", "__local"])
+
+
+def numbered(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """Replaces the numbers within partitions of a kept table by numbers within the whole."""
+    names = [c for c in rows.columns if c not in ("__pid", "__local")]
     before = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(key, "__pid").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     joined = rows.join(offsets.select(key, "__pid", "__before"), [key, "__pid"])
-    return joined.select(*schema.names, (F.col("__before") + F.col("__local")).alias(out))
+    return joined.select(*names, (F.col("__before") + F.col("__local")).alias(out))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 from array import array
@@ -13,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bpe import byte_symbols
-from .common import CACHE, WordCache, gather
+from .common import WordCache, gather
 
 #: Letters of which none composes with another or changes its number of code points in lower case, then ASCII punctuation but for
 #: apostrophes and underscores: both kinds of tokenizer end a word between the two, and nowhere within either.
@@ -22,6 +21,10 @@ _PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
 _BLANKS = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n]{2}|\A[ \n]|[ \n]\z"
 
 
+#: Bytes that one generation of the cache of pieces may hold.
+CACHE = 20_000_000
+
+
 class CachedEncoder:
     """Encodes whole texts with a tokenizers file, many at a time.
 
@@ -40,10 +43,8 @@ class CachedEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.model = self.tok.model
-        spec = json.loads(self.tok.to_str())
-        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"]] if spec["normalizer"] else [])]
-        #: Whether blanks are dropped and letters lower-cased, as the file says, or both kept.
-        self.folds = "Lowercase" in kinds
+        #: Whether blanks are dropped and letters lower-cased, as the file's normalizer does, or both kept.
+        self.folds = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("A") == "a"
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.letters = {i: c for i, c in enumerate(byte_symbols())}
         self.lead = "" if self.folds else self.letters[32]

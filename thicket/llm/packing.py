@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, frugal, number_within, slices
+from .common import LocalNumbers, Scratch, frugal, numbered, slices
 from .encoder import encoder
 
 
@@ -83,14 +83,15 @@ def _slots(plan: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, np.
     return {n: tuple(np.array(x, dtype=np.int64) for x in zip(*s)) for n, s in slots.items()}
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, numbers: bool = False) -> DataFrame:
     """Tokenizes whole texts, appends ``end_id`` and cuts what is longer than ``capacity``; only the first piece may be shorter.
 
-    Null texts count as empty. ``with_ids`` adds the ids themselves (little-endian unsigned 32-bit).
+    Null texts count as empty. ``with_ids`` adds the ids themselves (little-endian unsigned 32-bit), ``numbers`` the numbers of the
+    pieces of each length within their partition.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4")
+        enc, end, local = encoder(tokenizer_path), np.array([end_id], dtype="<u4"), LocalNumbers() if numbers else None
         for b in batches:
             for first, rows in slices(b.column(1)):
                 flat, edges = enc.encode_array(b.column(1).slice(first, rows))
@@ -104,11 +105,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                 ids = [np.append(flat[a:z], end) if last else flat[a:z] for a, z, last in zip((edges[of] + start).tolist(), (edges[of] + np.minimum(stop, total[of] - 1)).tolist(), (stop == total[of]).tolist())]
                 ids = [x.astype("<u4", copy=False).tobytes() for x in ids]
                 columns = [pa.array(piece, pa.int32()), pa.array(start), pa.array(stop - start), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + of)), *columns, *([pa.array(ids, pa.binary())] if with_ids else [])], names=names)
+                out = pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + of)), *columns, *([pa.array(ids, pa.binary())] if with_ids else [])], names=names)
+                yield local.add(out, 3) if numbers else out
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + f", {LocalNumbers.FIELDS}" * numbers
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(cut), schema)
 
 
@@ -122,9 +124,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     with the counts of their partition. Texts and ids are not shuffled unless ``with_ids`` asks for them.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    numbered = number_within(scratch, pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "length", "rank", "pieces")
-    counts = {r.length: r.n for r in numbered.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    rows = scratch.keep(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids, numbers=True), "pieces")
+    counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(best_two_fit(counts, capacity))
+    ranked = numbered(rows, "length", "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,5 +144,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             kept = [i for i, n in enumerate(names) if n != "rank"]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(seq), pa.array(offset)], names=[*(names[i] for i in kept), "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "rank")
-    return numbered.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
+    return ranked.mapInArrow(frugal(place), f"{fields}, sequence_id long, offset long")

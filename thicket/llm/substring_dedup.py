@@ -238,25 +238,34 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, batch: int = BATCH) -> Dat
     settled = found.where("settled").drop("settled")
     known = settled.groupBy(F.col("doc").alias("source")).agg(F.collect_list(F.struct("start", "words", "src", "at")).alias("known"))
     local = found.where("not settled").drop("settled")
-    traced = local.join(known, local["src"] == known["source"], "left").select(*local.columns, "known").mapInArrow(_trace, _SPAN)
+    traced = local.join(known, local["src"] == known["source"], "left").select(*local.columns, "known").mapInArrow(frugal(_trace), _SPAN)
     return scratch.keep(settled.unionAll(traced), "spans")
 
 
 _SPAN = "doc long, start long, words long, src long, at long"
 
 
+def _columns(spans, n: int) -> list[np.ndarray]:
+    """The fields of a row's list of whole-number structs; a list is never turned into Python objects for a whole batch."""
+    if spans is None or not spans.is_valid:
+        return [np.zeros(0, dtype=np.int64)] * n
+    return [spans.values.field(i).to_numpy() for i in range(n)]
+
+
 def _trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans whose source is the first that a task knew of, moved to where that source's own spans say that its edges come from."""
     for b in batches:
         out: list[tuple] = []
-        for doc, start, words, src, at, known in zip(*(c.to_pylist() for c in b.columns)):
+        for i, (doc, start, words, src, at) in enumerate(zip(*(c.to_pylist() for c in b.columns[:5]))):
             move, here, end = start - at, at, at + words - (WINDOW - 1)
-            for k in sorted(known or (), key=lambda k: k["start"]):
-                lo, hi = max(here, k["start"]), min(end, k["start"] + k["words"] - (WINDOW - 1))
+            begin, size, source, place = _columns(b.column(5)[i], 4)
+            close = np.flatnonzero((begin < end) & (begin + size - (WINDOW - 1) > here))
+            for k in close[np.argsort(begin[close], kind="stable")].tolist():
+                lo, hi = max(here, int(begin[k])), min(end, int(begin[k] + size[k]) - (WINDOW - 1))
                 if lo < hi:
                     if here < lo:
                         out.append((doc, here + move, lo - here + WINDOW - 1, src, here))
-                    out.append((doc, lo + move, hi - lo + WINDOW - 1, k["src"], k["at"] + lo - k["start"]))
+                    out.append((doc, lo + move, hi - lo + WINDOW - 1, int(source[k]), int(place[k]) + lo - int(begin[k])))
                     here = hi
             if here < end:
                 out.append((doc, here + move, end - here + WINDOW - 1, src, here))
@@ -279,7 +288,7 @@ def source_runs(asked: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple[int, int, int]] = []
             for src, spans in zip(b.column(0).to_pylist(), b.column(1)):
-                begin, end = _union(*(spans.values.field(i).to_numpy() for i in range(2)))
+                begin, end = _union(*_columns(spans, 2))
                 out += zip([src] * len(begin), begin.tolist(), (end - begin).tolist())
             cols = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["src", "at", "n"])
@@ -315,8 +324,7 @@ def compacted(scratch: Scratch, sources: DataFrame, runs: DataFrame) -> DataFram
                 node, edges = _rolling(h, WINDOW - 1).view(np.int64), np.append(0, np.cumsum(counts))
                 out = {c: [] for c in ("src", "pos", "node", "ins", "outs")}
                 for i in range(rows):
-                    asked = b.column(2)[first + i].values
-                    begin, end = _union(*(asked.field(k).to_numpy() for k in range(2)))
+                    begin, end = _union(*_columns(b.column(2)[first + i], 2))
                     fits = np.minimum(end, counts[i] - (WINDOW - 1)) > begin  # else another row with this id
                     begin, end = begin[fits], np.minimum(end, counts[i] - (WINDOW - 1))[fits]
                     pos = gather(begin, end - begin + 1).astype(np.int64)
@@ -393,10 +401,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {"src": [], "at": [], "words": [], "digest": []}
-            for doc, text, asked in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
+            for doc, text, asked in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2)):
                 words = (text.as_py() or b"").split()
-                for span in asked:
-                    a, n = span["at"], span["words"]
+                for a, n in zip(*(c.tolist() for c in _columns(asked, 2))):
                     if a + n <= len(words):
                         out["src"].append(doc)
                         out["at"].append(a)
@@ -414,8 +421,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "spans", "kept_text")}
-            for text, claims in zip(b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
-                text = text.as_py()
+            for text, claims in zip(b.column(1).cast(pa.binary()), b.column(2)):
+                text, claims = text.as_py(), claims.as_py()
                 words = (text or b"").split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 for c in claims or ():
