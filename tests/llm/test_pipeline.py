@@ -1,11 +1,13 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from thicket.llm.encoder import byte_bpe_path
 
+from .reference import quality_scores, toxicity_scores
 from .test_substrings import WORD
 
 
@@ -87,3 +89,37 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     assert sorted((p[:5] for p in packed), key=str) == sorted(want, key=str)
     assert sorted((tuple(r)[:5] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
     assert len(rows) == len(whole)
+
+
+def test_classifier_stages_against_plain_versions(spark, tmp_path):
+    write(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet").collect()
+    for (_, stage), column, folds, out, scores, passes in zip(corpus_pipeline.STAGES, ("quality", "toxic"), (5, 3), (0, 1), (quality_scores, toxicity_scores), (lambda s: s >= 0.3, lambda s: s < 0.7)):
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        known = {r.doc_id: r[column] for r in labels if zlib.crc32(str(r.doc_id).encode()) % folds != out}
+        plain = dict(zip((i for i, _ in rows), scores(rows, known)))
+        kept = stage(spark, docs, str(tmp_path))
+        kept.write.parquet(f"{tmp_path}/{column}")
+        docs = spark.read.parquet(f"{tmp_path}/{column}")
+        got = {r.doc_id for r in docs.collect()}
+        sure = {i: s for i, s in plain.items() if abs(s - (0.3 if column == "quality" else 0.7)) > 0.02}
+        assert len(sure) > 0.95 * len(plain) and got & sure.keys() == {i for i, s in sure.items() if passes(s)}
+
+
+def test_stages_take_empty_tables_other_columns_and_repeated_rows(spark, tmp_path):
+    write(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = ["__score", "spans", "kept_text", "n_words", "size", "rank", "key", "component_id", "kept", "label"]
+    wide = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names)).unionByName(docs.where("doc_id in (1, 2)").select("*", *(F.lit(f"again {n}").alias(n) for n in names)))
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, wide.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, wide, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/wide{n}")
+        if n < 4:
+            assert out.columns == wide.columns
+            wide = spark.read.parquet(f"{tmp_path}/wide{n}")
+            assert {r["spans"] for r in wide.select("spans").distinct().collect()} <= {"own spans", "again spans"}
+    # Rows that share an id and a text are one document: each of them stays or goes with it.
+    left = {r.doc_id: r.n for r in wide.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert all(left.get(i, 2) == 2 for i in (1, 2)) and all(n == 1 for i, n in left.items() if i not in (1, 2))
