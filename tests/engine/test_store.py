@@ -5,6 +5,7 @@ import pytest
 
 from thicket.functions.keys import key_column, key_text, split_text
 from thicket.operators import objects
+from thicket.sources.page import to_html
 from thicket.sources.store import Batch, BatchError, ConflictError, Store
 from thicket.streaming import oplog
 
@@ -214,3 +215,9 @@ def test_stream_of_operations(spark, store, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         oplog.ingest(oplog.read(spark, source), store, mark).awaitTermination()
     assert store.get("a") is None and store.get("b") == "2"
+
+
+def test_a_page_shows_the_tree(store):
+    store.put_many({"a/b/c": "1 < 2", "a/b/d": b"\xff", "a/e": "x", "f": "y"})
+    assert to_html(store.kv()) == "<ul><li>a<ul><li>b<ul><li>c: <code>1 &lt; 2</code></li><li>d: <code>0xff</code></li></ul></li><li>e: <code>x</code></li></ul></li><li>f: <code>y</code></li></ul>"
+    assert to_html(store.kv(), 1).endswith("<p>more</p>") and to_html(store.kv(0)) == "<ul></ul>"
