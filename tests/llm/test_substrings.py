@@ -123,7 +123,7 @@ def test_paths_are_the_maximal_nonbranching_ones(spark):
     scratch = Scratch(spark, "test")
     spans = sd.repeated_spans(table, scratch, 300)
     asked = scratch.keep(sd._by_source(spans), "asked")
-    sources = scratch.keep(table.join(asked, table["doc_id"] == asked["src"]).select("src", "text", "asked"), "sources")
+    sources = scratch.keep(table.join(asked, table["doc_id"] == asked["src"]).select("src", "text", "at", "words"), "sources")
     parts = {}
     for r in sd.compacted(scratch, sources, sd.source_runs(asked)).collect():
         parts.setdefault(r.unitig, []).append((r.offset, r.src, r["at"], r.n))

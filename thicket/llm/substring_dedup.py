@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .common import Scratch, WordCache, distinct_words, frugal, gather, mix, slices, word_hash
 
@@ -178,7 +179,7 @@ def dealing(rows: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, batch: int = BATCH) -> DataFrame:
-    """Runs of edges of each document that also occur in one with a smaller id: ``doc``, ``start``, ``words``, ``src``, ``at``.
+    """Runs of edges of each document that also occur in one with a smaller id: ``doc``, ``src`` and lists ``start``, ``words``, ``at``.
 
     Edges go to the bucket of their least seed, so that neighbours mostly stay together; an edge met in several documents of a
     task goes out once, for the smallest id, which keeps passages that very many documents share from filling one bucket. Each
@@ -229,56 +230,116 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, batch: int = BATCH) -> Dat
         for settled in (True, False):
             at = (x["n"] > 0) == settled
             doc, start, n, src, place = compact(*(np.abs(x[c][at]) if c == "n" else x[c][at] for c in _PIECES))
-            out.append(pa.table({"doc": doc, "start": start, "words": n + (WINDOW - 1), "src": src, "at": place, "settled": np.full(len(doc), settled)}))
+            packed = _packed(doc, src, start, n + (WINDOW - 1), place)
+            out.append(packed.append_column("settled", pa.array(np.full(packed.num_rows, settled))))
         return pa.concat_tables(out)
 
     rows = docs.where("doc_id is not null").select("doc_id", "text")
     pieces = rows.mapInArrow(frugal(scan), _BLOB).groupBy("bucket").applyInArrow(resolve, _BLOB)
-    found = scratch.keep(pieces.groupBy("bucket").applyInArrow(join, f"{_SPAN}, settled boolean"), "found")
+    found = scratch.keep(pieces.groupBy("bucket").applyInArrow(join, f"{_SPANS}, settled boolean"), "found")
     settled = found.where("settled").drop("settled")
-    known = settled.groupBy(F.col("doc").alias("source")).agg(F.collect_list(F.struct("start", "words", "src", "at")).alias("known"))
+    known = settled.groupBy(F.col("doc").alias("source")).agg(F.collect_list(F.struct("src", "start", "words", "at")).alias("known"))
     local = found.where("not settled").drop("settled")
-    traced = local.join(known, local["src"] == known["source"], "left").select(*local.columns, "known").mapInArrow(frugal(_trace), _SPAN)
+    traced = local.join(known, local["src"] == known["source"], "left").select(*local.columns, "known").mapInArrow(frugal(_trace), _SPANS)
     return scratch.keep(settled.unionAll(traced), "spans")
 
 
-_SPAN = "doc long, start long, words long, src long, at long"
+#: What a document has of a source: a row for each pair of them, with the places of all their spans.
+_SPANS = "doc long, src long, start array<long>, words array<long>, at array<long>"
+_LISTS = ("start", "words", "at")
 
 
-def _columns(spans, n: int) -> list[np.ndarray]:
-    """The fields of a row's list of whole-number structs; a list is never turned into Python objects for a whole batch."""
-    if spans is None or not spans.is_valid:
-        return [np.zeros(0, dtype=np.int64)] * n
-    return [spans.values.field(i).to_numpy() for i in range(n)]
+def _lists(edges: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, pa.Array]:
+    offsets = pa.array(edges.astype(np.int32))
+    return {name: pa.ListArray.from_arrays(offsets, pa.array(np.asarray(values, dtype=np.int64))) for name, values in columns.items()}
+
+
+def _packed(doc: np.ndarray, src: np.ndarray, start: np.ndarray, words: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Spans as a row for each document and source."""
+    order = np.lexsort((start, src, doc))
+    doc, src = doc[order], src[order]
+    heads = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (src[1:] != src[:-1])]) if len(doc) else np.zeros(0, dtype=np.int64)
+    return pa.table({"doc": doc[heads], "src": src[heads], **_lists(np.append(heads, len(doc)), {"start": start[order], "words": words[order], "at": at[order]})})
+
+
+def _as_lists(spans: DataFrame) -> DataFrame:
+    """Spans that come one a row, packed."""
+    if isinstance(spans.schema["start"].dataType, ArrayType):
+        return spans
+    each = F.collect_list(F.struct(*_LISTS)).alias("x")
+    return spans.groupBy("doc", "src").agg(each).select("doc", "src", *(F.col(f"x.{c}").alias(c) for c in _LISTS))
+
+
+def _numbers(column: pa.Array, i: int) -> np.ndarray:
+    """A row's list of whole numbers; a list is never turned into Python objects for a whole batch."""
+    item = column[i]
+    return item.values.to_numpy() if item.is_valid else np.zeros(0, dtype=np.int64)
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...] = ("doc", "src", *_LISTS)) -> pa.RecordBatch:
+    """Packed rows: a number for each plain column, then an array for each list."""
+    plain = len(names) - len(_LISTS)
+    cols = list(zip(*rows)) if rows else [()] * len(names)
+    edges = np.append(0, np.cumsum([len(x) for x in cols[plain]])) if rows else np.zeros(1, dtype=np.int64)
+    lists = _lists(edges, {n: np.concatenate(c) if rows else np.zeros(0, dtype=np.int64) for n, c in zip(names[plain:], cols[plain:])})
+    return pa.RecordBatch.from_pydict({**{n: pa.array(c, pa.int64()) for n, c in zip(names, cols[:plain])}, **lists})
 
 
 def _trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans whose source is the first that a task knew of, moved to where that source's own spans say that its edges come from."""
     for b in batches:
         out: list[tuple] = []
-        for i, (doc, start, words, src, at) in enumerate(zip(*(c.to_pylist() for c in b.columns[:5]))):
-            move, here, end = start - at, at, at + words - (WINDOW - 1)
-            begin, size, source, place = _columns(b.column(5)[i], 4)
-            close = np.flatnonzero((begin < end) & (begin + size - (WINDOW - 1) > here))
-            for k in close[np.argsort(begin[close], kind="stable")].tolist():
-                lo, hi = max(here, int(begin[k])), min(end, int(begin[k] + size[k]) - (WINDOW - 1))
-                if lo < hi:
-                    if here < lo:
-                        out.append((doc, here + move, lo - here + WINDOW - 1, src, here))
-                    out.append((doc, lo + move, hi - lo + WINDOW - 1, int(source[k]), int(place[k]) + lo - int(begin[k])))
-                    here = hi
-            if here < end:
-                out.append((doc, here + move, end - here + WINDOW - 1, src, here))
-        cols = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "start", "words", "src", "at"])
+        for i, (doc, src) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            start, words, at = (_numbers(b.column(c), i) for c in (2, 3, 4))
+            begin, end, source, place = [], [], [], []
+            if b.column(5)[i].is_valid:
+                for k in b.column(5)[i].as_py():
+                    begin += k["start"]
+                    end += [x + w - (WINDOW - 1) for x, w in zip(k["start"], k["words"])]
+                    place += k["at"]
+                    source += [k["src"]] * len(k["start"])
+            order = np.argsort(np.array(begin, dtype=np.int64), kind="stable").tolist()
+            found: list[tuple[int, int, int, int]] = []  # source, start, words, place
+            for s, w, here in zip(start.tolist(), words.tolist(), at.tolist()):
+                move, last = s - here, here + w - (WINDOW - 1)
+                for k in order:
+                    lo, hi = max(here, begin[k]), min(last, end[k])
+                    if lo < hi:
+                        if here < lo:
+                            found.append((src, here + move, lo - here + WINDOW - 1, here))
+                        found.append((source[k], lo + move, hi - lo + WINDOW - 1, place[k] + lo - begin[k]))
+                        here = hi
+                if here < last:
+                    found.append((src, here + move, last - here + WINDOW - 1, here))
+            of, *columns = (np.array(c, dtype=np.int64) for c in zip(*found))
+            out += [(doc, int(s), *(c[of == s] for c in columns)) for s in np.unique(of)]
+        yield _batch(out)
 
 
 _EMPTY = pa.table({"bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("doc", "start", "n", "edge", "src", "at")}})
 
 
 def _by_source(spans: DataFrame) -> DataFrame:
-    """For each source the stretches asked for: ``src``, ``asked`` (place and words); no more of them than pairs of its words."""
-    return spans.select("src", "at", "words").distinct().groupBy("src").agg(F.collect_list(F.struct("at", "words")).alias("asked"))
+    """For each source the distinct stretches asked for: ``src``, ``at``, ``words``; no more of them than pairs of its words.
+
+    A batch names each stretch once before the shuffle.
+    """
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            src = np.repeat(b.column(0).to_numpy(), size)
+            at, words = (pc.list_flatten(b.column(c)).to_numpy() for c in (1, 2))
+            order = np.lexsort((words, at, src))
+            src, at, words = src[order], at[order], words[order]
+            new = np.r_[True, (src[1:] != src[:-1]) | (at[1:] != at[:-1]) | (words[1:] != words[:-1])] if len(src) else np.zeros(0, dtype=bool)
+            src, at, words = src[new], at[new], words[new]
+            heads = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({"src": pa.array(src[heads]), **_lists(np.append(heads, len(src)), {"at": at, "words": words})})
+
+    named = spans.select("src", "at", "words").mapInArrow(frugal(once), "src long, at array<long>, words array<long>")
+    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("at", "words"))))
+    return named.groupBy("src").agg(pairs.alias("asked")).select("src", F.col("asked.at").alias("at"), F.col("asked.words").alias("words"))
 
 
 def source_runs(asked: DataFrame) -> DataFrame:
@@ -287,13 +348,13 @@ def source_runs(asked: DataFrame) -> DataFrame:
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[int, int, int]] = []
-            for src, spans in zip(b.column(0).to_pylist(), b.column(1)):
-                begin, end = _union(*_columns(spans, 2))
+            for i, src in enumerate(b.column(0).to_pylist()):
+                begin, end = _union(_numbers(b.column(1), i), _numbers(b.column(2), i))
                 out += zip([src] * len(begin), begin.tolist(), (end - begin).tolist())
             cols = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["src", "at", "n"])
 
-    return asked.mapInArrow(union, "src long, at long, n long")
+    return asked.select("src", "at", "words").mapInArrow(union, "src long, at long, n long")
 
 
 def _union(at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +385,7 @@ def compacted(scratch: Scratch, sources: DataFrame, runs: DataFrame) -> DataFram
                 node, edges = _rolling(h, WINDOW - 1).view(np.int64), np.append(0, np.cumsum(counts))
                 out = {c: [] for c in ("src", "pos", "node", "ins", "outs")}
                 for i in range(rows):
-                    begin, end = _union(*_columns(b.column(2)[first + i], 2))
+                    begin, end = _union(_numbers(b.column(2), first + i), _numbers(b.column(3), first + i))
                     fits = np.minimum(end, counts[i] - (WINDOW - 1)) > begin  # else another row with this id
                     begin, end = begin[fits], np.minimum(end, counts[i] - (WINDOW - 1))[fits]
                     pos = gather(begin, end - begin + 1).astype(np.int64)
@@ -386,35 +447,64 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(rows, scratch, batch)
+    spans = _as_lists(repeated_spans(rows, scratch, batch))
     scratch.free_shuffles()
     asked = scratch.keep(_by_source(spans), "asked")
-    sources = scratch.keep(rows.join(asked, rows["doc_id"] == asked["src"]).select("src", "text", "asked"), "sources")
+    # Joined by sorting at any size, as all joins here that carry texts.
+    sources = scratch.keep(rows.join(asked.hint("merge"), rows["doc_id"] == asked["src"]).select("src", "text", "at", "words"), "sources")
     paths = compacted(scratch, sources, source_runs(asked))
-    # What each span has of each path, by the source's coordinates.
-    end, path_end = F.col("s.at") + F.col("s.words") - (WINDOW - 1), F.col("p.at") + F.col("p.n")
-    begin = F.greatest("s.at", "p.at")
-    met = spans.alias("s").join(paths.alias("p"), F.col("s.src") == F.col("p.src")).where((F.col("p.at") < end) & (F.col("s.at") < path_end))
-    parts = scratch.keep(met.select("s.doc", (F.col("s.start") + begin - F.col("s.at")).alias("start"), (F.least(end, path_end) - begin + (WINDOW - 1)).alias("words"), "s.src", begin.alias("at")), "parts")
+    paths = paths.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("paths")).select("src", F.col("paths.at").alias("path"), F.col("paths.n").alias("edges"))
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each span has of each path, by the source's coordinates."""
+        for b in batches:
+            out: list[tuple] = []
+            for i, (doc, src) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                start, words, at, path, edges = (_numbers(b.column(c), i) for c in range(2, 7))
+                end, path_end = at + words - (WINDOW - 1), path + edges
+                # Paths of a source follow each other: those that meet a span are a run of them.
+                first, last = np.searchsorted(path_end, at, side="right"), np.searchsorted(path, end, side="left")
+                k, span = gather(first, np.maximum(last - first, 0)), np.repeat(np.arange(len(at)), np.maximum(last - first, 0))
+                begin = np.maximum(at[span], path[k])
+                out.append((doc, src, start[span] + begin - at[span], np.minimum(end[span], path_end[k]) - begin + (WINDOW - 1), begin))
+            yield _batch(out)
+
+    parts = scratch.keep(spans.join(paths, "src").select(*spans.columns, "path", "edges").mapInArrow(frugal(intersect), _SPANS), "parts")
     scratch.free_shuffles()
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {"src": [], "at": [], "words": [], "digest": []}
-            for doc, text, asked in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2)):
+            rows: list[tuple] = []
+            for i, (src, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()))):
                 words = (text.as_py() or b"").split()
-                for a, n in zip(*(c.tolist() for c in _columns(asked, 2))):
-                    if a + n <= len(words):
-                        out["src"].append(doc)
-                        out["at"].append(a)
-                        out["words"].append(n)
-                        out["digest"].append(xxhash.xxh3_128_digest(b" ".join(words[a : a + n])))
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary() if c == "digest" else pa.int64()) for c in out], names=list(out))
-
-    proven = sources.select("src", "text").join(_by_source(parts), "src").select("src", "text", "asked")
-    proof = scratch.keep(proven.mapInArrow(frugal(digests), "src long, at long, words long, digest binary").distinct(), "proof")
-    claimed = parts.join(proof, ["src", "at", "words"]).select("doc", "start", "words", "digest").distinct()
-    claims = scratch.keep(claimed.groupBy("doc").agg(F.collect_list(F.struct("start", "words", "digest")).alias("claims")), "claims")
+                asked = [(a, n) for a, n in zip(_numbers(b.column(2), i).tolist(), _numbers(b.column(3), i).tolist()) if a + n <= len(words)]
+                rows.append((src, [a for a, _ in asked], [n for _, n in asked], [xxhash.xxh3_128_digest(b" ".join(words[a : a + n])) for a, n in asked]))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["src", "p_at", "p_words", "digest"])
+
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each part the digest of the words at its source's coordinates."""
+        for b in batches:
+            rows: list[tuple] = []
+            for i, doc in enumerate(b.column(0).to_pylist()):
+                start, words, at, p_at, p_words = (_numbers(b.column(c), i).tolist() for c in (2, 3, 4, 5, 6))
+                wanted, proven, digest = set(zip(at, words)), {}, b.column(7)[i].values
+                for k, key in enumerate(zip(p_at, p_words)):
+                    if key in wanted:
+                        proven[key] = digest[k].as_py()
+                own = [(s, n, proven[a, n]) for s, n, a in zip(start, words, at) if (a, n) in proven]
+                rows.append((doc, *map(list, zip(*own))) if own else (doc, [], [], []))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc", "start", "words", "digest"])
+
+    named = _by_source(parts).hint("merge")
+    lists = "array<long>, {} array<long>, digest array<binary>"
+    proof = scratch.keep(sources.select("src", "text").join(named, "src").select("src", "text", "at", "words").mapInArrow(frugal(digests), "src long, p_at " + lists.format("p_words")), "proof")
+    claimed = parts.join(proof, "src").select(*parts.columns, "p_at", "p_words", "digest").mapInArrow(frugal(claim), "doc long, start " + lists.format("words"))
+    zipped = F.flatten(F.collect_list(F.arrays_zip("start", "words", "digest"))).alias("claims")
+    claims = scratch.keep(claimed.groupBy("doc").agg(zipped), "claims")
     scratch.only(claims)
     scratch.free_shuffles()
 
@@ -448,7 +538,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     extra = [c for c in docs.columns if c not in (id_col, text_col, *MADE)] if with_text else []
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"x_{i}") for i, c in enumerate(extra)))
-    joined = whole.join(claims, whole["doc_id"] == claims["doc"], "left").select("doc_id", "text", "claims", *(f"x_{i}" for i in range(len(extra))))
+    joined = whole.join(claims.hint("merge"), whole["doc_id"] == claims["doc"], "left").select("doc_id", "text", "claims", *(f"x_{i}" for i in range(len(extra))))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
         schema += ", spans array<struct<start: long, words: long>>, kept_text string" + "".join(f", x_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
