@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordCache, distinct_words, frugal, gather, mix, slices, word_hash
@@ -22,7 +22,7 @@ BANDS = HASHES // ROWS
 _WIDTH = 6
 #: Members of a key up to which pairs are listed; beyond, members of a group from which on it has chunks of its own, members of a
 #: chunk of signatures and of a tile of full sets.
-FEW, FAMILY, CHUNK, TILE = 16, 512, 2048, 256
+FEW, FAMILY, CHUNK, TILE = 16, 512, 2048, 512
 _CHUNK = 4096
 
 
@@ -191,8 +191,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
     counts = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     multi = scratch.keep(bands.join(counts, "key").select("key", "node", "n"), "shared-keys")
     scratch.free_shuffles()
-    company = multi.groupBy("node").agg(F.sum("n").alias("company"))
-    heads = multi.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", F.negate("node").alias("node"))).alias("head"))
+    company = F.sum("n").over(Window.partitionBy("node")).alias("company")
+    heads = multi.select("key", "node", company).groupBy("key").agg(F.max_by("node", F.struct("company", F.negate("node").alias("node"))).alias("head"))
     near_head = multi.join(heads, "key").where("head != node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     stars = scratch.keep(likely(near_head), "stars")
     ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 2, id_c
     first = components(scratch, links)
     grouped = multi.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
     mixed = grouped.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("n")).where("g1 != g2").select("key", "n")
-    members = scratch.keep(grouped.join(mixed, "key").join(info, "node"), "mixed")
-    small = members.where(F.col("n") <= FEW).select("key", "group", "node", "i")
+    members = scratch.keep(grouped.join(mixed, "key"), "mixed")
+    small = members.where(F.col("n") <= FEW).join(info, "node").select("key", "group", "node", "i")
     x, y = (small.select("key", *(F.col(c).alias(f"{c}_{k}" if c != "i" else k) for c in ("group", "node", "i"))) for k in "xy")
     few = x.join(y, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("group_x") != F.col("group_y")) & close)
     few = few.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
@@ -240,8 +240,8 @@ def _by_tiles(scratch: Scratch, members: DataFrame, classes: DataFrame, sets_of,
     own = F.xxhash64("group", F.pmod(F.xxhash64("node"), F.ceil(F.col("of_group") / CHUNK)), F.lit("own"))
     chunk = F.when(F.col("of_group") > FAMILY, own).otherwise(F.xxhash64(F.pmod(F.xxhash64("group"), F.ceil(F.col("rest") / CHUNK)), F.lit("pooled")))
     sig = [f"s{i}" for i in range(WORDS)]
-    dealt = members.join(of_group, ["key", "group"]).join(pooled, "key", "left").select("key", chunk.alias("chunk"), "group", "node", "i.*")
-    dealt = dealt.join(classes.select("node", "bands"), "node")
+    dealt = members.join(of_group, ["key", "group"]).join(pooled, "key", "left").select("key", chunk.alias("chunk"), "group", "node")
+    dealt = dealt.join(classes.select("node", "n_shingles", *sig, "bands"), "node")
 
     def pack(t: pa.Table) -> pa.Table:
         group = t.column("group").to_numpy()
@@ -265,19 +265,18 @@ def _by_tiles(scratch: Scratch, members: DataFrame, classes: DataFrame, sets_of,
                     continue
                 x, y = left.part(slice(a, a + TILE)), right.part(slice(b, b + TILE))
                 u, v = x.possible(y, key, threshold, margin)
-                out += [(i, j, side, m.node[np.unique(w)]) for side, m, w in ((0, x, u), (1, y, v)) if len(w)]
-        rows = [len(n) for *_, n in out]
+                out += [(i, j, side, m.part(np.unique(w))) for side, m, w in ((0, x, u), (1, y, v)) if len(w)]
+        rows = [len(m.node) for *_, m in out]
         tile = {name: np.repeat(np.array([o[k] for o in out], dtype=np.int32), rows) for k, name in enumerate(("t1", "t2", "side"))}
         total = sum(rows)
-        return pa.table({"key": np.full(total, key), "c1": np.full(total, c1), "c2": np.full(total, c2), **tile, "node": np.concatenate([np.zeros(0, np.int64), *(n for *_, n in out)])})
+        return pa.table({"key": np.full(total, key), "c1": np.full(total, c1), "c2": np.full(total, c2), **tile, **{c: np.concatenate([np.zeros(0, np.int64), *(getattr(m, c) for *_, m in out)]) for c in ("node", "group")}})
 
     tile = ["key", "c1", "c2", "t1", "t2"]
-    asked = sides.join(packs, ["key", "chunk"]).groupBy("key", "c1", "c2").applyInArrow(survivors, "key long, c1 long, c2 long, t1 int, t2 int, side int, node long")
+    asked = sides.join(packs, ["key", "chunk"]).groupBy("key", "c1", "c2").applyInArrow(survivors, "key long, c1 long, c2 long, t1 int, t2 int, side int, node long, group long")
     asked = scratch.keep(asked, "possible")
     wanted = asked.select("node").distinct().join(classes.select("node", "rep", "cls"), "node")
-    sets = scratch.keep(sets_of(wanted), "sets-tiles")
-    groups = members.select("node", "group", "i.*").dropDuplicates(["node"])
-    rows = asked.join(groups, "node").join(classes.select("node", "bands"), "node").join(sets, "node")
+    sets = scratch.keep(sets_of(wanted).join(classes.select("node", "n_shingles", *sig, "bands"), "node"), "sets-tiles")
+    rows = asked.join(sets, "node")
 
     def confirm(t: pa.Table) -> pa.Table:
         both = _Members(*(t.column(c).to_numpy() for c in ("node", "group", "n_shingles")), np.stack([t.column(c).to_numpy() for c in sig], axis=1), np.array(t.column("bands").to_pylist(), dtype=np.int64))
