@@ -17,6 +17,7 @@ from ..functions.keys import split_text, starts_with
 from ..operators import scans
 from ..sources.store import ConflictError
 
+#: How deep selections and fragments may go, and the names of the scalar types.
 DEPTH, FRAGMENT_DEPTH = 15, 10
 SCALARS = ("String", "Int", "Float", "Boolean", "ID")
 
