@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -233,3 +234,38 @@ def test_packing_by_counts_is_best_two_fit_piece_by_piece(lengths, capacity):
     plan = packing.best_two_fit(Counter(lengths), capacity)
     got = sorted(sorted(bin_) for times, bin_ in plan for _ in range(times))
     assert got == plain_best_two_fit(lengths, capacity)
+
+
+class Counted:
+    """A model that notes what it is asked."""
+
+    def __init__(self, model):
+        self.model, self.asked = model, []
+
+    def tokenize(self, word):
+        self.asked.append(word)
+        return self.model.tokenize(word)
+
+
+def library_ids(tok, texts):
+    return [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids]
+
+
+def test_a_word_goes_to_the_model_once_whatever_its_case_and_punctuation():
+    enc = CachedEncoder(word_bpe_path())
+    enc.model = Counted(enc.model)
+    texts = ["élan Élan, (élan) ÉLAN.", "élan; don't élan", "", "Élan!\nélan"]
+    for _ in range(2):
+        assert enc.encode_array(pa.array(texts))[0].tolist() == library_ids(WORD, texts)
+    assert enc.model.asked.count("Ã©lan") == 1
+
+
+@pytest.mark.parametrize("path, tok", [(byte_bpe_path(), BYTE), (word_bpe_path(), WORD)])
+def test_words_kept_are_bounded_and_ids_stay_the_same(path, tok):
+    enc, rng = CachedEncoder(path, 4_000), random.Random(3)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choices("aeintÀßÿ", k=rng.randrange(1, 7))) + rng.choice(["", ",", ").", "'s", "_"]) for _ in range(30)) for _ in range(4)]
+        ids, edges = enc.encode_array(pa.array(texts))
+        assert ids.tolist() == library_ids(tok, texts) and len(edges) == 5
+        table = enc.words
+        assert table.words.nbytes + table.flat.nbytes + table.size.nbytes + table.used.nbytes <= 4_000 and len(table.words) > 0
