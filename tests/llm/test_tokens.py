@@ -269,3 +269,12 @@ def test_words_kept_are_bounded_and_ids_stay_the_same(path, tok):
         assert ids.tolist() == library_ids(tok, texts) and len(edges) == 5
         table = enc.words
         assert table.words.nbytes + table.flat.nbytes + table.size.nbytes + table.used.nbytes <= 4_000 and len(table.words) > 0
+
+
+def test_a_word_goes_to_the_byte_level_model_once_after_spaces_and_once_after_line_breaks():
+    enc = CachedEncoder(byte_bpe_path())
+    enc.model = Counted(enc.model)
+    texts = ["élan élan, (élan) élan.\nélan; élan?", "élan! an élan", "", "it élan;\nélan"]
+    for _ in range(2):
+        assert enc.encode_array(pa.array(texts))[0].tolist() == library_ids(BYTE, texts)
+    assert enc.model.asked.count("ĠÃ©lan") == enc.model.asked.count("Ã©lan") == 1
