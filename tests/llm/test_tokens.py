@@ -278,3 +278,24 @@ def test_a_word_goes_to_the_byte_level_model_once_after_spaces_and_once_after_li
     for _ in range(2):
         assert enc.encode_array(pa.array(texts))[0].tolist() == library_ids(BYTE, texts)
     assert enc.model.asked.count("ĠÃ©lan") == enc.model.asked.count("Ã©lan") == 1
+
+
+def test_words_after_spaces_are_cut_as_one_text_and_white_space_of_all_kinds_keeps_its_ids():
+    codec = bpe.PairIndexBpe(byte_bpe_path())
+    words, cuts = codec.words, []
+
+    class Cut:
+        def findall(self, text):
+            cuts.append(text)
+            return words.findall(text)
+
+    codec.words = Cut()
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = ["it's élan, don't (an) 12th's the日本 <b> 'tis", "the an élan;\nélan", "", *(f"an{c}élan it{c} {c}the on" for c in blanks), *blanks]
+    for text, entries in zip(texts, codec.encode_batch(texts), strict=True):
+        ids = BYTE.encode(text, add_special_tokens=False).ids
+        assert "".join(e[0] for e in entries) == "".join(f"{i}," for i in ids) and sum(e[1] for e in entries) == len(ids)
+        assert b"".join(e[2] for e in entries).decode() == text
+    cuts.clear()
+    codec.encode_batch([" ".join(f"{a}{b}" for a in "abcdefgh" for b in "stuvwxyz")])
+    assert len(cuts) <= 3

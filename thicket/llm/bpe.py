@@ -6,10 +6,11 @@ import functools
 import hashlib
 import heapq
 import json
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ from .common import frugal
 #: Fixed value: the published pattern by which byte-level BPE cuts texts into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Texts that can't be cut at single spaces and line breaks: with other white space, runs of it, or special tokens spelled out.
+_UNSAFE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{2}|<\||\A[ \n]|[ \n]\z"
+
 
 def byte_symbols() -> list[str]:
     """The character that stands for each byte in the vocabulary: itself if printable, else the next one from 256 on."""
@@ -48,17 +52,25 @@ class PairIndexBpe:
             made.setdefault(new, rank)
         self.pair_of = [pair for pair in self.merge]
         self.new_of = [new for _, new in self.merge.values()]
+        #: For each id the ids beside it that it merges with, and the ranks of these merges.
+        self.rights: dict[int, dict[int, int]] = {}
+        self.lefts: dict[int, dict[int, int]] = {}
+        for rank, (a, b) in enumerate(self.pair_of):
+            self.rights.setdefault(a, {})[b] = self.lefts.setdefault(b, {})[a] = rank
+        #: The symbol of each byte and the rank of each pair of bytes, -1 without; 255, in no UTF-8, is the gap.
+        self.symbol = np.array([*self.byte_id[:255], -1], dtype=np.int64)
+        self.byte_rank = np.array([[self.rights.get(a, {}).get(b, -1) for b in self.symbol.tolist()] for a in self.symbol.tolist()], dtype=np.int64)
         back = {c: b for b, c in enumerate(symbols)}
         self.token_bytes = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
+        self.listed = {i: f"{i}," for i in self.token_bytes}
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.entries = entries
         self.word_ids: dict[str, tuple[int, ...]] = {}
         self.first: dict[str, tuple[str, int, bytes]] = {}
         self.spaced: dict[str, tuple[str, int, bytes]] = {}
-        self.unsafe = re.compile(r"[^\S \n]|[ \n]{2}|<\||\A[ \n]|[ \n]\Z")
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of words, by one index over all of them.
@@ -67,26 +79,18 @@ class PairIndexBpe:
         Active ranks are taken in ascending order; each is applied at all its positions from left to right, which makes and
         breaks pairs only beside them, and the new pairs' lists join the index.
         """
-        sym: list[int] = []
-        bounds = [0]
-        for w in words:
-            sym += map(self.byte_id.__getitem__, w.encode("utf-8"))
-            sym.append(-1)
-            bounds.append(len(sym))
-        n, merge = len(sym), self.merge
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for i, pair in enumerate(zip(sym, sym[1:])):
-            if (m := merge.get(pair)) is not None:
-                if m[0] in index:
-                    index[m[0]].append(i)
-                else:
-                    index[m[0]] = [i]
-        active = list(index)
-        heapq.heapify(active)
+        data = np.frombuffer(b"".join([w.encode() + b"\xff" for w in words]), dtype=np.uint8)
+        n, ranks = len(data), self.byte_rank[data[:-1], data[1:]]
+        sym, after, before = self.symbol[data].tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        active, first = np.unique(ranks[places], return_index=True)
+        index = {rank: part.tolist() for rank, part in zip(active.tolist(), np.split(places, first[1:]))}
+        active, none = active.tolist(), {}  # in ascending order, and so a heap
         while active:
             rank = heapq.heappop(active)
             (left, right), new = self.pair_of[rank], self.new_of[rank]
+            lefts, rights = self.lefts.get(new, none), self.rights.get(new, none)
             places = index.pop(rank)
             places.sort()
             for i in places:
@@ -98,23 +102,34 @@ class PairIndexBpe:
                 sym[i], sym[j] = new, -2
                 k = after[i] = after[j]
                 before[k] = i
-                h = before[i]
-                if h >= 0 and (m := merge.get((sym[h], new))) is not None:
-                    if m[0] in index:
-                        index[m[0]].append(h)
+                h = before[i]  # before the first symbol it is the last, a gap
+                if (r := lefts.get(sym[h])) is not None:
+                    if r in index:
+                        index[r].append(h)
                     else:
-                        index[m[0]] = [h]
-                        heapq.heappush(active, m[0])
-                if (m := merge.get((new, sym[k]))) is not None:
-                    if m[0] in index:
-                        index[m[0]].append(i)
+                        index[r] = [h]
+                        heapq.heappush(active, r)
+                if (r := rights.get(sym[k])) is not None:
+                    if r in index:
+                        index[r].append(i)
                     else:
-                        index[m[0]] = [i]
-                        heapq.heappush(active, m[0])
-        return [tuple(s for s in sym[a : z - 1] if s >= 0) for a, z in zip(bounds, bounds[1:])]
-
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        cut = [self.words.findall(p) for p in pieces]
+                        index[r] = [i]
+                        heapq.heappush(active, r)
+        made = np.array(sym, dtype=np.int64)
+        ends = np.cumsum(made >= 0)[made == -1].tolist()
+        ids = made[made >= 0].tolist()
+        return [tuple(ids[a:z]) for a, z in zip([0, *ends], ends)]
+
+    def _cut(self, pieces: list[str], lead: str) -> list[list[str]]:
+        """The words of pieces with what stands before them: those after a space, which hold no white space, are cut as one text."""
+        if not lead:
+            return [self.words.findall(p) for p in pieces]
+        words = self.words.findall(lead + lead.join(pieces)) if pieces else []
+        at = [i for i, w in enumerate(words) if w[0] == lead]
+        return [words[a:z] for a, z in zip(at, [*at[1:], len(words)])]
+
+    def _ids(self, pieces: list[str], lead: str = "") -> list[list[int]]:
+        cut = self._cut(pieces, lead)
         new = [w for w in {w for ws in cut for w in ws} if w not in self.word_ids]
         if len(self.word_ids) + len(new) > self.entries:
             self.word_ids.clear()
@@ -140,7 +155,7 @@ class PairIndexBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
     def _entry(self, ids: list[int]) -> tuple[str, int, bytes]:
-        return ",".join(map(str, ids)) + "," if ids else "", len(ids), self.decode_bytes(ids)
+        return "".join(map(self.listed.__getitem__, ids)), len(ids), self.decode_bytes(ids)
 
     def _known(self, pieces: list[str], cache: dict, lead: str) -> list[tuple[str, int, bytes]]:
         try:
@@ -152,7 +167,7 @@ class PairIndexBpe:
                 self.first.clear()
                 self.spaced.clear()
                 missing = list(wanted)
-            for p, ids in zip(missing, self._ids([lead + p for p in missing])):
+            for p, ids in zip(missing, self._ids(missing, lead)):
                 cache[p] = self._entry(ids)
             return list(map(cache.__getitem__, pieces))
 
@@ -164,8 +179,9 @@ class PairIndexBpe:
         """
         line_break = self._entry(self._ids(["\n"])[0])
         plans, heads, rest = [], [], []
-        for text in texts:
-            if self.unsafe.search(text):
+        unsafe = pc.match_substring_regex(pa.array(texts, pa.string()), _UNSAFE).to_pylist()
+        for text, whole in zip(texts, unsafe):
+            if whole:
                 plans.append(self._entry(self.encode(text)))
                 continue
             counts = []
