@@ -1,4 +1,4 @@
-"""What a session gives: the package on the executors, and the folder that all of them share."""
+"""What a session gives: the package on the executors, the folder that all of them share, and how many tasks rows are dealt to."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -30,6 +30,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of the files read for which there is a task: a few hundred thousand rows.
+SHARE = 4 << 20
+
+
+def shares(df: DataFrame) -> int:
+    """Tasks for the rows of a frame: one for each ``SHARE`` of its files, as many as there are cores at least.
+
+    A shuffle into so many stays as it is. Others are merged by compressed bytes, which for short rows are millions in one task.
+    """
+    spark, leaves = df.sparkSession, df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = [n for n in sizes if n < 1 << 60]  # rows from elsewhere than files count as 2^63 - 1
+    least = spark.sparkContext.defaultParallelism if len(known) == len(sizes) else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-sum(known) // SHARE))
+
+
 _LOCAL_SHARED: dict[str, str] = {}
 
 

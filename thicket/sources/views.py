@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shares
 
 _READ: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -23,6 +24,11 @@ def _node(kind: str, key: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
+def _distinct(df: DataFrame, *columns: str) -> DataFrame:
+    """In tasks whose number grows with the table."""
+    return df.select(*columns).repartition(shares(df), *columns).distinct()
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``s``, ``p``, ``o``. A filter on ``p`` leaves only the branches of that predicate in the plan."""
     t = lambda name: table(spark, sf_dir, name)
@@ -35,8 +41,8 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t("customer"), _node("customer", "c_custkey"), "segment", F.col("c_mktsegment")),
         (t("orders"), _node("order", "o_orderkey"), "status", F.col("o_orderstatus")),
         (t("orders"), _node("order", "o_orderkey"), "priority", F.col("o_orderpriority")),
-        (item.select("l_orderkey", "l_partkey").distinct(), _node("order", "l_orderkey"), "contains", _node("part", "l_partkey")),
-        (item.select("l_partkey", "l_suppkey").distinct(), _node("part", "l_partkey"), "supplied_by", _node("supplier", "l_suppkey")),
+        (_distinct(item, "l_orderkey", "l_partkey"), _node("order", "l_orderkey"), "contains", _node("part", "l_partkey")),
+        (_distinct(item, "l_partkey", "l_suppkey"), _node("part", "l_partkey"), "supplied_by", _node("supplier", "l_suppkey")),
         (t("part"), _node("part", "p_partkey"), "brand", F.col("p_brand")),
         (t("part"), _node("part", "p_partkey"), "size", F.lpad(F.col("p_size").cast("string"), 3, "0")),
     ]
