@@ -2,13 +2,16 @@
 
 import uuid
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from thicket import catalogue, session
 from thicket.operators import triples as T
+from thicket.operators import versions
 from thicket.plans.traversal import Stats
 from thicket.sources import views
+from thicket.sources.store import Store
 
 SHARE = 1 << 16
 
@@ -60,3 +63,29 @@ def test_pairs_of_the_items_are_made_distinct_in_more_tasks_as_these_grow(spark,
     assert shares > 10 and max(counts) >= shares
     got, counts = tasks(spark, catalogue.queries()["graph_pred_stats"](spark, str(tmp_path)).collect)
     assert max(counts) >= 2 * shares and {r.p: r.triple_count for r in got}["contains"] == pairs
+
+
+def test_a_vacuum_deals_versions_to_more_tasks_as_the_log_grows_and_keeps_their_order(spark, small, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = spark.range(40_000).select(F.array(F.lit("k"), F.col("id").cast("string")).alias("path"), F.sha1(F.col("id").cast("string")).alias("value"))
+    store.put_rows(rows.coalesce(2))
+    store.put_rows(rows.where("path[1] % 4 = 0").withColumn("value", F.lit("new")))
+    oldest = store.last_txn
+    store.delete_prefix("k/7")
+    store.put_rows(rows.where("path[1] % 8 = 0").withColumn("value", F.lit("newer")))
+    shares = sum(f.stat().st_size for f in (tmp_path / "store" / "log").rglob("*.parquet")) // SHARE
+    _, counts = tasks(spark, lambda: store.vacuum(oldest))
+    assert shares > 20 and max(counts) >= shares
+    want = {(str(i), 2 if i % 4 == 0 else 1, False) for i in range(40_000)} | {("7", 3, True)} | {(str(i), 4, False) for i in range(0, 40_000, 8)}
+    kept = [(r.path[1], r.txn, r.is_delete) for r in store.log().collect()]
+    assert len(kept) == len(want) and set(kept) == want
+    files = [pq.read_table(f, columns=["key", "txn"]).to_pylist() for f in sorted((tmp_path / "store" / "generations").rglob("part-*.parquet"))]
+    assert [(r["key"], r["txn"]) for rows in files for r in rows] == sorted((r["key"], r["txn"]) for rows in files for r in rows)
+
+
+def test_versions_of_a_transaction_are_collected_by_their_place(spark):
+    ops = [(["a"], "1", 1, 0, False), (["a"], "2", 1, 1, False), (["b"], "1", 1, 1, False), (["b"], None, 1, 2, True), (["c"], None, 2, 0, True), (["c"], "3", 3, 0, False), (["c"], "4", 3, 1, False)]
+    frame = spark.createDataFrame(ops, "path array<string>, value string, txn long, seq int, is_delete boolean")
+    for in_order in (False, True):
+        got = sorted((r.path, r.value) for r in versions.collect_versions(frame, 2, in_order).collect())
+        assert got == [(["a"], "2"), (["c"], "3"), (["c"], "4")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shares
+
 
 def _by(ops: DataFrame) -> str:
     return "key" if "key" in ops.columns else "path"
@@ -23,15 +25,17 @@ def snapshot(ops: DataFrame, as_of: int | None = None) -> DataFrame:
     return _newest(seen).where(~F.col("is_delete")).drop("is_delete", "txn")
 
 
-def collect_versions(ops: DataFrame, oldest_reader: int) -> DataFrame:
+def collect_versions(ops: DataFrame, oldest_reader: int, in_order: bool = False) -> DataFrame:
     """Drops versions that no reader at ``oldest_reader`` or later can see.
 
-    Kept are versions after that transaction and, of the others, the newest of each path unless it is a deletion.
+    Kept are versions after that transaction and, of the others, the newest of each path unless it is a deletion. The log is dealt
+    once, to tasks whose number grows with it (``in_order``: by ranges of paths), and sorted once, by path, transaction and place.
     """
-    old = F.col("txn") <= oldest_reader
-    rank = F.row_number().over(Window.partitionBy(_by(ops), old).orderBy(F.desc("txn"), F.desc("seq")))
-    kept = ops.withColumn("__old", old).withColumn("__rank", rank).where(~F.col("__old") | ((F.col("__rank") == 1) & ~F.col("is_delete")))
-    return kept.drop("__old", "__rank")
+    by = _by(ops)
+    dealt = (ops.repartitionByRange if in_order else ops.repartition)(shares(ops), by)
+    after = F.lead("txn").over(Window.partitionBy(by).orderBy("txn", "seq"))
+    newest = F.col("__after").isNull() | (F.col("__after") > oldest_reader)
+    return dealt.withColumn("__after", after).where((F.col("txn") > oldest_reader) | (newest & ~F.col("is_delete"))).drop("__after")
 
 
 def increments(ops: DataFrame, kv: DataFrame) -> DataFrame:

@@ -336,9 +336,9 @@ class Store:
         self.purge()
         last = self.last_txn
         oldest = min([last if oldest_reader is None else oldest_reader, *(int(n[:19]) for n in self._names("_readers"))])
-        kept = versions.collect_versions(self.log().where(F.col("txn") <= last), oldest)
+        kept = versions.collect_versions(self.log().where(F.col("txn") <= last), oldest, in_order=True)
         name = f"{last:019d}-{time.time_ns():019d}-{uuid.uuid4().hex}"
-        kept.repartitionByRange("key").sortWithinPartitions("key", "txn", "seq").write.parquet(f"{self.location}/generations/{name}")
+        kept.sortWithinPartitions("key", "txn", "seq").write.parquet(f"{self.location}/generations/{name}")
         self._create(f"_commits/{name}-vacuum")
 
     def purge(self) -> int:
