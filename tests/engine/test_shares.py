@@ -1,14 +1,17 @@
 """Shuffles of a table's rows have tasks whose number grows with its files, each of a bounded number of rows."""
 
+import tracemalloc
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from thicket import catalogue, session
 from thicket.operators import triples as T
-from thicket.operators import versions
+from thicket.operators import vectors, versions
 from thicket.plans.traversal import Stats
 from thicket.sources import views
 from thicket.sources.store import Store
@@ -89,3 +92,28 @@ def test_versions_of_a_transaction_are_collected_by_their_place(spark):
     for in_order in (False, True):
         got = sorted((r.path, r.value) for r in versions.collect_versions(frame, 2, in_order).collect())
         assert got == [(["a"], "2"), (["c"], "3"), (["c"], "4")]
+
+
+def test_a_join_of_vectors_has_bounded_memory():
+    rng, n, dims = np.random.default_rng(3), vectors.VECTOR_BLOCK, 64
+    x, q = rng.normal(size=(n, dims)).astype(np.float32), rng.normal(size=(300, dims))
+    lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, dims), pa.int32()), pa.array(a.ravel()))
+    left, right = pa.table({"id": np.arange(n), "embedding": lists(x)}), pa.table({"query_id": [str(i) for i in range(len(q))], "embedding": lists(q)})
+    tracemalloc.start()
+    try:
+        found = vectors._block_search(left, right, 5, "l2").to_pydict()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 130
+    for i in (0, 63, 64, 299):
+        d = np.sqrt(((x - q[i]) ** 2).sum(1))
+        assert [a for a, name in zip(found["id"], found["query_id"]) if name == str(i)] == np.lexsort((np.arange(n), d))[:5].tolist()
+
+
+def test_vectors_with_nulls_are_read_as_before():
+    assert vectors.matrix(pa.array([[1.0, 2.0], [3.0, None]]))[0].tolist() == [1.0, 2.0] and np.isnan(vectors.matrix(pa.array([[1.0, None]]))[0, 1])
+    assert vectors.matrix(pa.chunked_array([pa.array([[0.0], [1.0], [2.0]])[1:], pa.array([[5.0]])])).tolist() == [[1.0], [2.0], [5.0]]
+    for ragged in ([[1.0, 2.0], None, [3.0, 4.0]], [[1.0, 2.0, 3.0], [4.0]]):
+        with pytest.raises(ValueError):
+            vectors.matrix(pa.array(ragged))

@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from . import scans
 QUERY_BLOCK = 1024
 #: Vectors, and queries, that a task of a join holds.
 VECTOR_BLOCK = 32_768
+#: Distances that a task of a join has at once, in any number of queries: 16 MB.
+PRODUCT = 1 << 21
 
 
 def vector_literal(values) -> Column:
@@ -30,9 +33,18 @@ def flat_search(vectors: DataFrame, query, k: int, metric: str = "l2") -> DataFr
     return vectors.withColumn("distance", METRICS[metric](F.col("embedding"), vector_literal(query))).orderBy("distance", "id").limit(k)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors as rows of doubles, without a Python object for each number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.unique(pc.list_value_length(column).to_numpy(zero_copy_only=False)) if not column.null_count else ()
+    if len(lengths) != 1:
+        return np.array(column.to_pylist(), dtype=np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), int(lengths[0]))
+
+
 def distances(block: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     """Distances of queries (rows) to vectors (columns), in double precision."""
-    block, queries = block.astype(np.float64), queries.astype(np.float64)
+    block, queries = block.astype(np.float64, copy=False), queries.astype(np.float64, copy=False)
     if metric == "dot":
         return -(queries @ block.T)
     if metric == "cosine":
@@ -83,7 +95,7 @@ def batch_search(vectors: DataFrame, queries: list[tuple[str, list[float]]], k:
             for b in batches:
                 if not b.num_rows or not names:
                     continue
-                x = np.array(b.column(1).to_pylist(), dtype=np.float64)
+                x = matrix(b.column(1))
                 d = distances(x, wanted, metric)
                 if seen is not None:
                     d[~seen[:, b.column(2).to_numpy(zero_copy_only=False)]] = np.inf
@@ -97,6 +109,27 @@ def batch_search(vectors: DataFrame, queries: list[tuple[str, list[float]]], k:
     return out.select("*", rank).where(F.col("rank") <= k)
 
 
+def _block_search(left: pa.Table, right: pa.Table, k: int, metric: str) -> pa.Table:
+    """The ``k`` nearest in a block of vectors (left) of each of a run of queries (right)."""
+    probed = "cid" in left.column_names
+    ids, names = left.column("id").combine_chunks(), right.column("query_id").combine_chunks()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if left.num_rows and right.num_rows:
+        x, wanted = matrix(left.column("embedding")), matrix(right.column("embedding"))
+        step = max(1, PRODUCT // len(x))
+        place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"))
+        for a in range(0, len(wanted), step):
+            d = distances(x, wanted[a : a + step], metric)
+            if probed:
+                cid = left.column("cid").to_numpy()
+                for row, seen in zip(d, right.column("cids").slice(a, step).to_pylist()):
+                    row[~np.isin(cid, seen)] = np.inf
+            q, at, exact = _nearest(x, wanted[a : a + step], d, k, metric, place)
+            found.append((q + a, at, exact))
+    q, at, exact = (np.concatenate(c) for c in zip(*found))
+    return pa.table({"query_id": names.take(pa.array(q)), "id": ids.take(pa.array(at)), "distance": exact})
+
+
 def join_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """``batch_search`` for any number of queries, which stay a frame: ``query_id``, ``embedding`` and, if the vectors have ``cid``, ``cids``.
 
@@ -111,21 +144,7 @@ def join_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), *["cids"] * probed, F.pmod(F.xxhash64("query_id"), F.lit(runs)).alias("run"), each(blocks).alias("block"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, names = left.column("id").combine_chunks(), right.column("query_id").combine_chunks()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if left.num_rows and right.num_rows:
-            x, wanted = (np.array(t.column("embedding").to_pylist(), dtype=np.float64) for t in (left, right))
-            place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"))
-            for a in range(0, len(wanted), 256):
-                d = distances(x, wanted[a : a + 256], metric)
-                if probed:
-                    cid = left.column("cid").to_numpy()
-                    for row, seen in zip(d, right.column("cids").slice(a, 256).to_pylist()):
-                        row[~np.isin(cid, seen)] = np.inf
-                q, at, exact = _nearest(x, wanted[a : a + 256], d, k, metric, place)
-                found.append((q + a, at, exact))
-        q, at, exact = (np.concatenate(c) for c in zip(*found))
-        return pa.table({"query_id": names.take(pa.array(q)), "id": ids.take(pa.array(at)), "distance": exact})
+        return _block_search(left, right, k, metric)
 
     keys = ["block", "run"]
     out = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, f"query_id string, id {kind}, distance double")
@@ -200,7 +219,7 @@ def train_centroids(vectors: DataFrame, k: int, metric: str = "l2", rounds: int
             sums, counts = np.zeros_like(shared.value), np.zeros(len(shared.value))
             for b in batches:
                 if b.num_rows:
-                    x = np.array(b.column(0).to_pylist(), dtype=np.float64)
+                    x = matrix(b.column(0))
                     near = distances(shared.value, x, metric).argmin(axis=1)
                     np.add.at(sums, near, x)
                     counts += np.bincount(near, minlength=len(counts))
